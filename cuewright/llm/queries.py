@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuewright.llm import nearest, splitting
+from cuewright.llm import nearest, splitting, turns
 from cuewright.sources.tables import table
 
 
+def _p1(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("segments", "speakers", "transcripts")]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.speaker_turns(*_p1(spark, folder)).select("source_id", "first_seg_idx", "speaker_id")
+
+
+def p1_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.turn_texts(*_p1(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     claims, evidence = table(spark, folder, "reference_claims"), table(spark, folder, "evidence")
     return nearest.nearest_in_time(claims, evidence, "source_id", "claim_id", "timestamp_ms", "evidence_id", "start_ms", "tolerance_ms").select("claim_id", "evidence_id")
@@ -28,7 +40,7 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return at.select("policy_id", "source_id", "chapter_id", "piece", "p.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 SQL: dict[str, str] = {
     "p2_found": """
