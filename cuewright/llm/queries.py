@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuewright.llm import nearest, splitting, turns
+from cuewright.llm import leakage, nearest, splitting, turns
 from cuewright.sources.tables import table
 
 
@@ -40,7 +40,11 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return at.select("policy_id", "source_id", "chapter_id", "piece", "p.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found}
 
 SQL: dict[str, str] = {
     "p2_found": """
