@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuewright.llm import leakage, nearest, splitting, turns
+from cuewright.llm import leakage, nearest, splitting, truncation, turns
 from cuewright.sources.tables import table
 
 
@@ -44,7 +44,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.judged(table(spark, folder, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p8_share(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated_share(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 
 SQL: dict[str, str] = {
     "p2_found": """
