@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuewright.llm import leakage, nearest, splitting, truncation, turns
+from cuewright.llm import language, leakage, nearest, packing, splitting, truncation, turns
 from cuewright.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest_in_time(claims, evidence, "source_id", "claim_id", "timestamp_ms", "evidence_id", "start_ms", "tolerance_ms").select("claim_id", "evidence_id")
 
 
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.spoken_languages(table(spark, folder, "segments"), table(spark, folder, "transcripts"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_languages(spark, folder).where("seg_idx >= 0 OR NOT label_agrees").select("source_id", "seg_idx", "language")
+
+
 def _p5(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_chapters(*[table(spark, folder, t) for t in ("chapters", "transcripts", "segments", "segmentation_policies")])
 
@@ -40,6 +48,14 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return at.select("policy_id", "source_id", "chapter_id", "piece", "p.*")
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "containers"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, folder), table(spark, folder, "containers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
@@ -52,7 +68,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 
 SQL: dict[str, str] = {
     "p2_found": """
