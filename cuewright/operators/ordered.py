@@ -37,3 +37,30 @@ def neighbour(df: DataFrame, keys: list[str], by: list[str], values: list[str],
     joined = a.join(b, match, "left")
     got = F.when(F.col("a._first"), F.col("b._edge")).otherwise(F.col("a._near"))
     return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], *[got.getField(v).alias(prefix + v) for v in values])
+
+
+def running(df: DataFrame, keys: list[str], by: list[str], values: dict[str, tuple[str, str]], cell_column: str = "_cell") -> DataFrame:
+    """Add running values of the rows *before* each row in the order ``by``: name -> (``sum``, ``max`` or ``last``, column).
+
+    As in :func:`neighbour`, a window runs over (key, cell), and what earlier cells add comes from one row per cell.
+    ``last`` skips nulls; a sum is 0 where nothing came before. Rows equal in ``by`` count as in any order. Null equals
+    null in the keys.
+    """
+    near = Window.partitionBy(*keys, cell_column).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy(cell_column).rowsBetween(Window.unboundedPreceding, -1)
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    whole = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*by)))}
+    join = {
+        "sum": lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),
+        "max": lambda before, here: F.greatest(before, here),
+        "last": lambda before, here: F.coalesce(here, before),
+    }
+    cells = df.groupBy(*keys, cell_column).agg(*[whole[kind](c).alias("_b_" + name) for name, (kind, c) in values.items()])
+    cells = cells.select(*keys, cell_column, *[over[kind]("_b_" + name).over(along).alias("_b_" + name) for name, (kind, _) in values.items()])
+    here = df.select("*", *[over[kind](c).over(near).alias("_h_" + name) for name, (kind, c) in values.items()])
+    a, b = here.alias("a"), cells.alias("b")
+    match = F.lit(True)
+    for k in [*keys, cell_column]:
+        match = match & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    found = [join[kind](F.col("b._b_" + name), F.col("a._h_" + name)).alias(name) for name, (kind, _) in values.items()]
+    return a.join(b, match).select(*[F.col(f"a.`{c}`") for c in df.columns], *found)
