@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import interval_queries
+from cuewright.plans import document_queries, interval_queries, relation_queries, transcript_queries
 
-MODULES = (interval_queries,)
+MODULES = (interval_queries, transcript_queries, relation_queries, document_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
