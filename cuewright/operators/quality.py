@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cuewright.functions.text import clean_text, fold_text, language_accepted
 from cuewright.operators.intervals import _with_reach, cell_periods
-from cuewright.operators.ordered import cell, neighbour, running
+from cuewright.operators.ordered import cell, neighbour
+from cuewright.sources.tables import counted_cues
+from cuewright.staging import stage
 
 #: Limits of the checks: share of the duration that cues must cover; cues from which repetition counts and the share of the
 #: commonest that is too much; a gap that is too long, in ms and as a share of the duration (the larger counts).
@@ -22,10 +24,7 @@ def usable_cues(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
 
     Null or blank texts stay; they are dropped by :func:`normalized`.
     """
-    known = transcripts.where("source_id IS NOT NULL").select("source_id").distinct()
-    rows = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND start_ms >= 0 AND end_ms > start_ms").join(known, "source_id", "left_semi")
-    least = rows.groupBy("source_id", "seg_idx").agg(F.min(F.struct("start_ms", "end_ms", "text", "speaker")).alias("c"))
-    return least.select("source_id", "seg_idx", "c.start_ms", "c.end_ms", "c.text", "c.speaker")
+    return counted_cues(segments.where("start_ms >= 0 AND end_ms > start_ms"), transcripts)
 
 
 def normalized(cues: DataFrame) -> DataFrame:
@@ -33,15 +32,36 @@ def normalized(cues: DataFrame) -> DataFrame:
 
     Neighbours are joined while their text is equal and each starts no later than the joined cue ends; the first's
     index, start and speaker stay, and the last end. Blank cues are dropped first.
+
+    All of it happens within (source, hour), after one shuffle. Only an hour's last cue, and the run of equal texts that
+    it begins with, can be joined across hours; these few are put in order per source.
     """
     order = ["start_ms", "end_ms", "seg_idx"]
+    key = ["source_id", "_cell"]
     clean = cues.select("source_id", "seg_idx", "start_ms", "end_ms", clean_text(F.col("text")).alias("text"), "speaker").where("text <> ''").withColumn("_cell", cell(F.col("start_ms")))
-    changed = neighbour(clean, ["source_id"], order, ["text"], "_prev_").withColumn("_new", F.when(F.col("_prev_text") == F.col("text"), 0).otherwise(1))
-    runs = running(changed, ["source_id"], order, {"_before": ("sum", "_new")}).withColumn("_run", F.col("_before") + F.col("_new"))
-    reach = running(runs, ["source_id", "_run"], order, {"_reach": ("max", "end_ms")}).withColumn("_break", F.when(F.col("start_ms") <= F.col("_reach"), 0).otherwise(1))
-    islands = running(reach, ["source_id", "_run"], order, {"_breaks": ("sum", "_break")}).withColumn("_island", F.col("_breaks") + F.col("_break"))
-    joined = islands.groupBy("source_id", "_run", "_island").agg(F.min_by(F.struct("seg_idx", "start_ms", "text", "speaker"), F.struct(*order)).alias("f"), F.max("end_ms").alias("end_ms"))
-    return joined.select("source_id", "f.seg_idx", "f.start_ms", "end_ms", "f.text", "f.speaker")
+    in_cell = Window.partitionBy(*key).orderBy(*order)
+    new = F.when(F.lag("text").over(in_cell) == F.col("text"), 0).otherwise(1)
+    runs = clean.withColumn("_new", new).withColumn("_run", F.sum("_new").over(in_cell))
+    joined = _islands(runs, [*key, "_run"], order)
+    marked = joined.withColumn("_edge", (F.col("_run") == 1) | (F.max(F.struct("_run", "_island")).over(Window.partitionBy(*key)) == F.struct("_run", "_island")))
+    held = stage(marked, "islands")
+
+    # across hours: the last cue of an hour, and those after it that begin the next one, are one run if their text is equal
+    edges = held.where("_edge").withColumn("_hour_run", F.col("_run")).drop("_run", "_island")
+    along = Window.partitionBy("source_id").orderBy(*order)
+    new = F.when((F.col("_hour_run") == 1) & (F.lag("text").over(along) == F.col("text")), 0).otherwise(1)
+    again = edges.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    both = held.where("NOT _edge").select(*CUE).unionByName(_islands(again, ["source_id", "_run"], order).select(*CUE))
+    return both
+
+
+def _islands(runs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows of a run (``key``) joined while each starts no later than the end so far; adds the number ``_island``."""
+    near = Window.partitionBy(*key).orderBy(*order)
+    reach = F.max("end_ms").over(near.rowsBetween(Window.unboundedPreceding, -1))
+    broken = runs.withColumn("_break", F.when(F.col("start_ms") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_break").over(near))
+    one = broken.groupBy(*key, "_island").agg(F.min_by(F.struct("seg_idx", "start_ms", "text", "speaker"), F.struct(*order)).alias("f"), F.max("end_ms").alias("end_ms"))
+    return one.select(*key, "_island", "f.seg_idx", "f.start_ms", "end_ms", "f.text", "f.speaker")
 
 
 def covered(cues: DataFrame) -> DataFrame:

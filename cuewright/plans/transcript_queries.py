@@ -71,25 +71,25 @@ def language_bases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "transcripts").groupBy(language_base(F.col("language")).alias("base")).agg(F.count("*").alias("n"))
 
 
-def _chapters(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    usable = _cues(spark, folder)
-    cues = stage(quality.normalized(usable), "normalized")
+def _chapters(spark: SparkSession, folder: str, usable: DataFrame) -> DataFrame:
     lengths = quality.durations(usable, _transcripts(spark, folder))
     closed = segmentation.closed_chapters(table(spark, folder, "chapters"), table(spark, folder, "transcripts"))
-    return segmentation.coalesced(closed, lengths, "detailed"), cues
+    return segmentation.coalesced(closed, lengths, "detailed")
 
 
 def chapter_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    return _chapters(spark, folder)[0]
+    return _chapters(spark, folder, _cues(spark, folder))
 
 
 def topic_boundaries(spark: SparkSession, folder: str) -> DataFrame:
-    chapters, cues = _chapters(spark, folder)
-    return segmentation.topics(chapters, cues).select("source_id", "topic_id", "title", "start_ms", "end_ms")
+    usable = _cues(spark, folder)
+    return segmentation.topics(_chapters(spark, folder, usable), quality.normalized(usable)).select("source_id", "topic_id", "title", "start_ms", "end_ms")
 
 
 def topic_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    chapters, cues = _chapters(spark, folder)
+    usable = _cues(spark, folder)
+    cues = stage(quality.normalized(usable), "normalized")
+    chapters = _chapters(spark, folder, usable)
     found = segmentation.topic_cues(stage(segmentation.topics(chapters, cues), "topics"), cues)
     return found.select("source_id", "topic_id", F.array_join(F.transform("seg_indexes", lambda i: i.cast("string")), ",").alias("cues"))
 

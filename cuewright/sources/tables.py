@@ -34,6 +34,11 @@ def valid_chapters(df: DataFrame) -> DataFrame:
 
 
 def counted_cues(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Cues whose source is known, each (``source_id``, ``seg_idx``) once. Deliveries of one cue differ in spacing or markup only."""
+    """Cues of known sources, each (``source_id``, ``seg_idx``) once: ``source_id, seg_idx, start_ms, end_ms, text, speaker``.
+
+    Deliveries of one cue differ in spacing or markup only; the least stays. Null keys are dropped.
+    """
     known = transcripts.where("source_id IS NOT NULL").select("source_id").distinct()
-    return segments.where("source_id IS NOT NULL").join(known, "source_id", "left_semi").dropDuplicates(["source_id", "seg_idx"])
+    rows = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL").join(known, "source_id", "left_semi")
+    least = rows.groupBy("source_id", "seg_idx").agg(F.min(F.struct("start_ms", "end_ms", "text", "speaker")).alias("c"))
+    return least.select("source_id", "seg_idx", "c.*")
