@@ -9,8 +9,9 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cuewright.operators.ordered import CELL_MS, cell, neighbour
-from cuewright.sources.tables import counted_cues, valid_chapters, valid_transcripts
+from cuewright.operators.ordered import cell, neighbour
+from cuewright.operators.segmentation import closed_chapters
+from cuewright.sources.tables import counted_cues
 
 #: A pause this long between two cues is a boundary, even without the end of a sentence.
 PAUSE_MS = 1_500
@@ -52,18 +53,6 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["policy_id", "source_id", "chapter_id", "start_ms", "end_ms"]].assign(pieces=pieces)
 
 
-def closed_chapters(chapters: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Valid chapters with an end: a null one is the next chapter's start or, for a source's last, the duration.
-
-    Chapters without a start, or still without an end, are left out.
-    """
-    valid = valid_chapters(chapters).where("start_ms IS NOT NULL").withColumn("_cell", cell(F.col("start_ms")))
-    valid = neighbour(valid, ["source_id"], ["start_ms", "ord", "chapter_id"], ["start_ms"], "_next_", forward=True)
-    durations = valid_transcripts(transcripts, ["duration_ms"])
-    end = F.coalesce("end_ms", "_next_start_ms", "duration_ms")
-    return valid.join(durations, "source_id", "left").select("source_id", "chapter_id", "start_ms", end.alias("end_ms")).where("end_ms IS NOT NULL")
-
-
 def cue_boundaries(cues: DataFrame) -> DataFrame:
     """Of each cue ``source_id, at, words, boundary``: its start, number of words, and its end if a sentence ends or a pause follows there, else null."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]*>|[\[(][^\])]*[\])]|♪", " ")
@@ -95,7 +84,7 @@ def split_chapters(chapters: DataFrame, transcripts: DataFrame, segments: DataFr
     if len(rows) > MOST_POLICIES:
         raise ValueError(f"more than {MOST_POLICIES} policies")
     of = [F.struct(F.lit(r.policy_id).alias("policy_id"), F.lit(r.maximum_ms).cast("bigint").alias("maximum_ms"), F.lit(r.overlap_ms or 0).cast("bigint").alias("overlap_ms")) for r in rows]
-    closed = closed_chapters(chapters, transcripts)
+    closed = closed_chapters(chapters, transcripts).select("source_id", "chapter_id", "start_ms", "end_ms")
     if not of:
         return closed.where("false").select(F.lit("").alias("policy_id"), "source_id", "chapter_id", "start_ms", "end_ms", F.lit(None).cast(PIECES).alias("pieces"))
     least = min(r.maximum_ms for r in rows)
