@@ -6,14 +6,15 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.operators.ordered import cell, neighbour
 from cuewright.staging import stage
 
 #: People that the name index may hold on each worker; a directory beyond it is refused rather than cut.
-MOST_PEOPLE = 20_000
+MOST_PEOPLE = 200_000
 #: Levels of the token tree under its root.
 DEPTH = 8
 #: Share of a layout's slot values that must be people for the slot to count as a speaker slot.
@@ -69,15 +70,6 @@ def _fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold()
 
 
-def _less(word: str, times: int) -> set[str]:
-    """The word and what is left after removing up to ``times`` characters."""
-    out = now = {word}
-    for _ in range(times):
-        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
-        out = out | now
-    return out
-
-
 def distance(a: str, b: str, most: int) -> int:
     """Edits (with swaps of neighbours) between two words, or ``most + 1`` if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -96,30 +88,37 @@ def distance(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
+BAG = 32
+
+
+def _bag(word: str) -> np.ndarray:
+    """Numbers of letters, some of which share a place."""
+    return np.bincount([ord(c) % BAG for c in word], minlength=BAG).astype(np.int16)
+
+
 class People:
     """Finds the person a label names: by number, full name in either order, one part of it, or slightly misspelled."""
 
     def __init__(self, rows: list[tuple[int, str | None, str | None]]) -> None:
         self.ids = {r[0] for r in rows}
         self.exact: dict[str, set[int]] = {}
-        self.near: dict[str, set[str]] = {}
         for pid, *parts in rows:
             for part in parts:
                 for word in _fold(part or "").split():
                     self.exact.setdefault(word, set()).add(pid)
-        for word in self.exact:
-            for w in _less(word, 2 if len(word) >= 6 else 1):
-                self.near.setdefault(w, set()).add(word)
+        self.words = list(self.exact)
+        self.bags = np.array([_bag(w) for w in self.words], np.int16).reshape(-1, BAG)
         self.known: dict[str, int | None] = {}
 
     def word(self, w: str) -> set[int]:
         if w in self.exact:
             return self.exact[w]
         most = 2 if len(w) >= 6 else 1 if len(w) >= 4 else 0
-        best: dict[str, int] = {}
-        for d in _less(w, most) if most else ():
-            for x in self.near.get(d, ()):
-                best.setdefault(x, distance(w, x, most))
+        if not most:
+            return set()
+        # each edit changes the numbers of letters by two at most, so few words are left to compare
+        near = np.nonzero(np.abs(self.bags - _bag(w)).sum(axis=1) <= 2 * most)[0]
+        best = {self.words[k]: distance(w, self.words[k], most) for k in near}
         least = min(best.values(), default=9)
         return set().union(*(self.exact[x] for x, d in best.items() if d == least)) if least <= most else set()
 
@@ -278,8 +277,6 @@ def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame)
     parts = stage(spoken_parts(segments, speakers, transcripts, with_text=True), "spoken")
     begins = turn_starts(parts).select("source_id", "start_ms", "seg_idx", "part", F.struct(F.col("seg_idx").alias("i"), F.col("part").alias("k"), F.col("start_ms").alias("t"), F.col("person").alias("p")).alias("turn"))
     marked = parts.join(begins, ["source_id", "start_ms", "seg_idx", "part"], "left").withColumn("_cell", cell(F.col("start_ms")))
-    from pyspark.sql import Window
-
     near = Window.partitionBy("source_id", "_cell").orderBy("start_ms", "seg_idx", "part")
     along = Window.partitionBy("source_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy("source_id", "_cell").agg(F.max_by("turn", F.when(F.col("turn").isNotNull(), F.struct("start_ms", "seg_idx", "part"))).alias("_in"))
