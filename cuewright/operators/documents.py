@@ -36,12 +36,9 @@ def vault(notes: DataFrame, urls: DataFrame) -> DataFrame:
     return rows.select("source_id", F.concat("name", F.lit(".md")).alias("path"), head.alias("content"))
 
 
-def vault_index(notes: DataFrame, titles: DataFrame) -> DataFrame:
-    """The index of each vault, with a link to every note: ``source_id, path, content``. ``titles``: ``source_id, title``."""
-    links = named_notes(notes).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("topic_id", F.concat(F.lit("- [["), "name", F.lit("]]")).alias("l")))).alias("l"))
-    rows = links.join(titles.select("source_id", "title"), "source_id", "left")
-    body = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["l"]), "\n"), F.lit("\n"))
-    return rows.select("source_id", F.lit("index.md").alias("path"), body.alias("content"))
+def vault_index(notes: DataFrame) -> DataFrame:
+    """The lines of each vault's index, one link a note, to be written in order of ``topic_id``: ``source_id, topic_id, line``."""
+    return named_notes(notes).select("source_id", "topic_id", F.concat(F.lit("- [["), "name", F.lit("]]")).alias("line"))
 
 
 def as_json(rows: DataFrame, key: str, pretty: bool = True) -> DataFrame:

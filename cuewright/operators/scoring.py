@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cuewright.functions.text import quarter
-from cuewright.operators.ordered import cell
+from cuewright.operators.ordered import cell, running
 
 #: Similarity from which a point states a claim, and from which its evidence is the claim's.
 STATES, SUPPORTS = 0.55, 0.45
@@ -60,7 +60,9 @@ def candidate_pairs(claims: DataFrame, points: DataFrame) -> DataFrame:
 def matched(pairs: DataFrame) -> DataFrame:
     """One point at most for a claim and the reverse, claims choosing in order of their id the best point still free.
 
-    Only similar pairs are grouped by source; the result has the columns of the pairs.
+    A pair ties up the time between its claim and its point. Stretches of a source that no pair ties together don't
+    influence each other, so each is a group of its own, and a long recording has many. The result has the columns of
+    the pairs.
     """
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -71,9 +73,13 @@ def matched(pairs: DataFrame) -> DataFrame:
                     taken.add(row.point_id)
                     rows.append(row.Index)
                     break
-        return group.loc[rows]
+        return group.loc[rows, [c.split()[0] for c in PAIRS.split(", ")]]
 
-    return pairs.groupBy("source_id").applyInPandas(choose, PAIRS)
+    ties = pairs.withColumn("_lo", F.col("timestamp_ms") - F.col("distance_ms")).withColumn("_hi", F.col("timestamp_ms") + F.col("distance_ms")).withColumn("_cell", cell(F.col("_lo")))
+    order = ["_lo", "_hi", "claim_id", "point_id"]
+    reach = running(ties, ["source_id"], order, {"_reach": ("max", "_hi")}).withColumn("_new", F.when(F.col("_lo") <= F.col("_reach"), 0).otherwise(1))
+    groups = running(reach, ["source_id"], order, {"_before": ("sum", "_new")}).withColumn("_group", F.col("_before") + F.col("_new"))
+    return groups.groupBy("source_id", "_group").applyInPandas(choose, PAIRS)
 
 
 def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFrame:

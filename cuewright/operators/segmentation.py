@@ -6,10 +6,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cuewright.functions.text import chapter_cap, numbered
-from cuewright.operators.ordered import CELL_MS, cell, neighbour
+from cuewright.operators.ordered import cell, neighbour, running
 from cuewright.sources.tables import valid_chapters, valid_transcripts
 
 #: How far from the target a topic may end, the score of a sentence's end, the longest pause that adds to it, and what distance takes off.
@@ -37,8 +37,9 @@ def coalesced(chapters: DataFrame, lengths: DataFrame, depth: str) -> DataFrame:
     """
     proper = chapters.where("end_ms > start_ms").join(lengths, "source_id")
     counted = proper.groupBy("source_id").agg(F.count("*").alias("_n"))
-    by = Window.partitionBy("source_id").orderBy("start_ms", "ord", "chapter_id")  # one row a chapter: some hundred a source
-    placed = proper.join(counted, "source_id").withColumn("_k", F.row_number().over(by) - 1).withColumn("_cap", chapter_cap(F.lit(depth), F.col("duration_ms")))
+    timed = proper.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", cell(F.col("start_ms")))
+    numbers = running(timed, ["source_id"], ["start_ms", "ord", "chapter_id"], {"_k": ("sum", "_one")})  # chapters before each
+    placed = numbers.join(counted, "source_id").withColumn("_cap", chapter_cap(F.lit(depth), F.col("duration_ms")))
     size = F.when(F.col("_n") <= F.col("_cap"), 1).otherwise(F.ceil(F.col("_n") / F.col("_cap")))
     grouped = placed.withColumn("_g", F.floor(F.col("_k") / size).cast("bigint")).groupBy("source_id", "_g").agg(
         F.min_by(F.struct("chapter_id", "title", "start_ms"), "_k").alias("f"), F.max_by("end_ms", "_k").alias("end_ms"), F.first(F.col("_n") > F.col("_cap")).alias("_joined")

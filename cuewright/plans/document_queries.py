@@ -151,7 +151,7 @@ def vault_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vault_links(spark: SparkSession, folder: str) -> DataFrame:
-    return docs.vault_index(_notes(spark, folder), valid_transcripts(table(spark, folder, "transcripts"), ["title"]))
+    return docs.vault_index(_notes(spark, folder))
 
 
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,8 +290,8 @@ SQL: dict[str, str] = {
     "json3_roundtrip": f"WITH {_WRITTEN}",
     "topic_packs": f"WITH {_CLAIMS} SELECT source_id, chapter_id, topic_id, claims, fingerprint FROM fp",
     "source_packs": f"""
-        WITH {_CLAIMS}, {_TR.format("title DESC NULLS LAST")}, p AS (SELECT source_id, count(*) AS topics, list(fingerprint ORDER BY topic_id) AS t FROM fp GROUP BY 1)
-        SELECT p.source_id, title, CAST(topics AS INTEGER) AS topics, sha256(CAST(to_json(struct_pack(source_id := p.source_id, title := title, topics := t)) AS VARCHAR)) AS fingerprint FROM p LEFT JOIN tr USING (source_id)
+        WITH {_CLAIMS}, {_TR.format("title DESC NULLS LAST")}, p AS (SELECT source_id, count(*) AS topics, CAST(sum(CAST('0x' || substr(fingerprint, 1, 12) AS BIGINT)) AS VARCHAR) AS topic_sum FROM fp GROUP BY 1)
+        SELECT p.source_id, title, topics, sha256(CAST(to_json(struct_pack(source_id := p.source_id, title := title, topic_sum := topic_sum, topics := topics)) AS VARCHAR)) AS fingerprint FROM p LEFT JOIN tr USING (source_id)
     """,
     "digest_document": rf"""
         WITH {_CLAIMS}, {_CHAPTERS},
@@ -305,10 +305,7 @@ SQL: dict[str, str] = {
         SELECT n2.source_id, name || '.md' AS path, '---' || chr(10) || 'source: ' || coalesce(url, '') || chr(10) || 'topic_id: ' || chapter_id || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || 'From ' || {_CLOCK.format("start_ms")} || chr(10) AS content
         FROM n2 LEFT JOIN u USING (source_id)
     """,
-    "vault_links": f"""
-        WITH {_NOTES}, {_TR.format("title DESC NULLS LAST")}, l AS (SELECT source_id, string_agg('- [[' || name || ']]', chr(10) ORDER BY chapter_id) AS links FROM n2 GROUP BY 1)
-        SELECT l.source_id, 'index.md' AS path, '# ' || coalesce(title, '') || chr(10) || chr(10) || links || chr(10) AS content FROM l LEFT JOIN tr USING (source_id)
-    """,
+    "vault_links": f"WITH {_NOTES} SELECT source_id, chapter_id AS topic_id, '- [[' || name || ']]' AS line FROM n2",
     "json_documents": f"""
         WITH {_TR.format("title DESC NULLS LAST, duration_ms DESC NULLS LAST, provenance DESC NULLS LAST")}
         SELECT source_id, CAST(to_json(struct_pack(duration_ms := duration_ms, provenance := provenance, source_id := source_id, title := title)) AS VARCHAR) AS document FROM tr
