@@ -270,9 +270,11 @@ def clean_words(text: Column) -> Column:
 
 
 def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Turns with clean words: ``source_id, turn_seg_idx, speaker_id, start_ms, cues, text``.
+    """Turns with clean words: ``source_id, turn_seg_idx, speaker_id, start_ms, part, cues, text``.
 
-    Each part finds its turn by the last start before it, over time cells; the words of one turn are then joined in order.
+    Each part of a cue finds its turn by the last start before it, over time cells; the words of a turn are then joined
+    in order. A turn that runs over full hours comes in as many rows, numbered by ``part``, so that a recording of one
+    voice is no single row.
     """
     parts = stage(spoken_parts(segments, speakers, transcripts, with_text=True), "spoken")
     begins = turn_starts(parts).select("source_id", "start_ms", "seg_idx", "part", F.struct(F.col("seg_idx").alias("i"), F.col("part").alias("k"), F.col("start_ms").alias("t"), F.col("person").alias("p")).alias("turn"))
@@ -283,5 +285,5 @@ def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame)
     carried = carried.withColumn("_in", F.last("_in", ignorenulls=True).over(along))
     inside = marked.withColumn("turn", F.last("turn", ignorenulls=True).over(near)).join(carried, ["source_id", "_cell"])
     owned = inside.withColumn("turn", F.coalesce("turn", "_in")).where("turn IS NOT NULL")
-    lines = owned.groupBy("source_id", "turn").agg(F.count_distinct("seg_idx").alias("cues"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", "part", clean_words(F.col("text")).alias("w")))).alias("l"))
-    return lines.select("source_id", F.col("turn.i").alias("turn_seg_idx"), F.col("turn.p").alias("speaker_id"), F.col("turn.t").alias("start_ms"), "cues", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("text"))
+    lines = owned.groupBy("source_id", "turn", "_cell").agg(F.count_distinct("seg_idx").alias("cues"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", "part", clean_words(F.col("text")).alias("w")))).alias("l"))
+    return lines.select("source_id", F.col("turn.i").alias("turn_seg_idx"), F.col("turn.p").alias("speaker_id"), F.col("turn.t").alias("start_ms"), (F.col("_cell") - cell(F.col("turn.t"))).cast("int").alias("part"), "cues", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("text"))
