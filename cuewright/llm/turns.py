@@ -266,7 +266,13 @@ def clean_words(text: Column) -> Column:
     """The text without sound descriptions, times, markup and doubled spaces; hesitation sounds go in :func:`turn_texts`."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|[♪\x01\x02\x03\x04]|<[^<>]*>|>>", " ")
     sounds = r"(?iU)(?<![\w])(?:[-–] )?(?:u+h*m+|u+h+|e+rm*|h+m+|ä+h+m*|ö+h+m*|e+u+h+|h+e+u+|e+h+m*|e+m+|으*음+|어+|흠+|えー*っ?と[ー〜]*|あの[ー〜]+|う[ー〜]*ん)(?![\w])(?:\.\.\.|,|、| [-–])?"
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, sounds, " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, sounds, " "), r"(?U)\s[-–—]+\s*\z", ""), r"(?U)\s+", " "))
+
+
+def _once(lines: str) -> Column:
+    """The words of each line, without lines that repeat the one before."""
+    words = F.filter(F.transform(lines, lambda x: x["w"]), lambda w: w != "")
+    return F.filter(words, lambda w, i: (i == 0) | (w != F.element_at(words, F.greatest(F.lit(1), i))))
 
 
 def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -286,4 +292,4 @@ def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame)
     inside = marked.withColumn("turn", F.last("turn", ignorenulls=True).over(near)).join(carried, ["source_id", "_cell"])
     owned = inside.withColumn("turn", F.coalesce("turn", "_in")).where("turn IS NOT NULL")
     lines = owned.groupBy("source_id", "turn", "_cell").agg(F.count_distinct("seg_idx").alias("cues"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", "part", clean_words(F.col("text")).alias("w")))).alias("l"))
-    return lines.select("source_id", F.col("turn.i").alias("turn_seg_idx"), F.col("turn.p").alias("speaker_id"), F.col("turn.t").alias("start_ms"), (F.col("_cell") - cell(F.col("turn.t"))).cast("int").alias("part"), "cues", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("text"))
+    return lines.select("source_id", F.col("turn.i").alias("turn_seg_idx"), F.col("turn.p").alias("speaker_id"), F.col("turn.t").alias("start_ms"), (F.col("_cell") - cell(F.col("turn.t"))).cast("int").alias("part"), "cues", F.array_join(_once("l"), " ").alias("text"))
