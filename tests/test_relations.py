@@ -67,3 +67,12 @@ def test_sessions(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 60), ("a", 4000), ("b", 5), (None, 1), ("b", None)], "k string, s bigint").withColumn("at", F.timestamp_seconds("s"))
     got = {(r.k, r.s, r.events) for r in sessions(rows, "k", "at", "10 minutes").select("k", F.unix_seconds("session_start").alias("s"), "events").collect()}
     assert got == {("a", 0, 2), ("a", 4000, 1), ("b", 5, 1)}
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    rows = [("a", 0), ("a", 60), ("b", 5), ("a", 9000), ("z", 90_000)]
+    spark.createDataFrame(rows, "k string, s bigint").withColumn("at", F.timestamp_seconds("s")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, s bigint, at timestamp").parquet(str(tmp_path / "in"))
+    query = sessions(stream, "k", "at", "10 minutes", "1 hour").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.k, r.events) for r in spark.table("closed").collect()} == {("a", 2), ("b", 1), ("a", 1)}
