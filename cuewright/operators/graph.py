@@ -152,3 +152,41 @@ def hash_ordered(rows: DataFrame, group: str, name: str) -> DataFrame:
 def repeat_statistics(observations: DataFrame, keys: list[str], metric: str, value: str) -> DataFrame:
     """Median and sample variance per metric over repeats, which a missing metric doesn't count for; one repeat has variance 0."""
     return observations.where(F.col(value).isNotNull()).groupBy(*keys, metric).agg(F.count("*").alias("repeats"), F.median(value).alias("median"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("variance"))
+
+
+def analysis_graph(topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and edges of the analysis of each source: its topics, then its chapters, then the whole.
+
+    ``topics``: ``source_id, chapter_id, topic_id``. Jobs: ``source_id, job_id, kind, priority``, later stages first;
+    edges: ``job_id, depends_on``.
+    """
+    name = lambda kind, *c: F.concat_ws(":", "source_id", F.lit(kind), *c)
+    each = topics.where("source_id IS NOT NULL AND topic_id IS NOT NULL").select("source_id", "chapter_id", name("topic", "topic_id").alias("t"), name("chapter", "chapter_id").alias("c"), name("compose").alias("p")).distinct()
+    chapters = each.select("source_id", "c", "p").distinct()
+    job = lambda df, c, kind, priority: df.select("source_id", F.col(c).alias("job_id"), F.lit(kind).alias("kind"), F.lit(priority).alias("priority"))
+    jobs = job(each, "t", "topic", 20).unionByName(job(chapters, "c", "chapter", 10)).unionByName(job(chapters.select("source_id", "p").distinct(), "p", "compose", 5))
+    edge = lambda df, a, b: df.select(F.col(a).alias("job_id"), F.col(b).alias("depends_on"))
+    return jobs, edge(each, "c", "t").unionByName(edge(chapters, "p", "c"))
+
+
+def reusable(requests: DataFrame, runs: DataFrame, first: str, second: str, result: str) -> DataFrame:
+    """Adds to each request the ``result`` of an earlier run with the same ``first`` key or, failing that, the same ``second``; and ``reused``, by which.
+
+    Each side of the two left joins has one row a key: the least result.
+    """
+    one = lambda key, name: runs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(result).alias(name))
+    both = requests.join(one(first, "_first"), first, "left").join(one(second, "_second"), second, "left")
+    by = F.when(F.col("_first").isNotNull(), first).when(F.col("_second").isNotNull(), second)
+    return both.select(*requests.columns, F.coalesce("_first", "_second").alias(result), by.alias("reused"))
+
+
+def expired(jobs: DataFrame, now) -> DataFrame:
+    """Rows whose lease has run out become free again; others stay as they are. ``status, worker_id, lease_expires_at`` are set."""
+    out = (F.col("status") == "running") & (F.col("lease_expires_at") < now)
+    return jobs.withColumns({"status": F.when(out, "pending").otherwise(F.col("status")), "worker_id": F.when(~F.coalesce(out, F.lit(False)), F.col("worker_id")), "lease_expires_at": F.when(~F.coalesce(out, F.lit(False)), F.col("lease_expires_at"))})
+
+
+def without(tables: dict[str, tuple[DataFrame, str]], removed: DataFrame) -> dict[str, DataFrame]:
+    """Each table less the rows that belong to removed ids (one column): name -> (table, column with the id). A null id belongs to nothing."""
+    ids = removed.toDF("_id").where("_id IS NOT NULL").distinct()
+    return {name: df.join(ids, df[column] == ids["_id"], "left_anti") for name, (df, column) in tables.items()}

@@ -101,3 +101,21 @@ def source_packs(topics: DataFrame, titles: DataFrame) -> DataFrame:
     per = topics.groupBy("source_id").agg(F.count("*").alias("topics"), F.sum(part).cast("string").alias("_sum"))
     both = per.join(titles.select("source_id", "title"), "source_id", "left")
     return both.select("source_id", "title", "topics", fingerprint(source_id=F.col("source_id"), title=F.col("title"), topics=F.col("topics"), topic_sum=F.col("_sum")).alias("fingerprint"))
+
+
+def composed(sources: DataFrame, keys: list[str], text: str, outline: Generator = extractive, compose: Generator = extractive, verify: Generator = extractive) -> DataFrame:
+    """Three passes, each over the last one's answer: ``keys, document, error``. A pass that fails ends its row with its error."""
+    first = generated(sources, keys, text, outline)
+    second = generated(first.where("error IS NULL").select(*keys, F.concat_ws("\n", "summary", F.array_join("concepts", ", ")).alias(text)), keys, text, compose)
+    third = generated(second.where("error IS NULL").select(*keys, F.col("summary").alias(text)), keys, text, verify)
+    failed = [d.where("error IS NOT NULL").select(*keys, F.lit(None).cast("string").alias("document"), "error") for d in (first, second)]
+    return third.select(*keys, F.col("summary").alias("document"), "error").unionByName(failed[0]).unionByName(failed[1])
+
+
+def last_message(lines: Column) -> Column:
+    """Of a process's JSON lines the text of the last message and the last token counts: ``struct<text, usage>``."""
+    event = "type STRING, item STRUCT<type: STRING, text: STRING>, usage MAP<STRING, BIGINT>"
+    events = F.transform(F.split(lines, "\n"), lambda x: F.from_json(x, event))
+    texts = F.filter(events, lambda e: (e["item"]["type"] == "agent_message") & e["item"]["text"].isNotNull())
+    usages = F.filter(events, lambda e: F.coalesce(F.size(e["usage"]), F.lit(-1)) > 0)
+    return F.struct(F.try_element_at(texts, F.lit(-1))["item"]["text"].alias("text"), F.try_element_at(usages, F.lit(-1))["usage"].alias("usage"))

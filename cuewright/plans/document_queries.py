@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuewright.functions import identity, text as tx
-from cuewright.operators import documents as docs, quality, retention, scoring, segmentation, synthesis
+from cuewright.operators import documents as docs, graph, quality, retention, scoring, segmentation, synthesis
 from cuewright.operators.ordered import CELL_MS, cell
 from cuewright.sources import artifacts, captions
 from cuewright.sources.tables import table, valid_chapters, valid_transcripts
@@ -202,11 +202,26 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("user_id", wall("session_start").alias("start_us"), wall("session_end").alias("end_us"), "events")
 
 
+def job_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The analysis jobs that the evidence's topics make, with the number of jobs that each waits for."""
+    topics = _claims(spark, folder).select("source_id", F.regexp_extract("topic_id", r"^(.*)-topic-\d+\z", 1).alias("chapter_id"), "topic_id")
+    jobs, edges = graph.analysis_graph(topics)
+    waits = edges.groupBy("job_id").agg(F.count("*").alias("waits"))
+    return jobs.join(waits, "job_id", "left").select("source_id", "job_id", "kind", "priority", F.coalesce("waits", F.lit(0)).cast("bigint").alias("waits"))
+
+
+def reuse_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Later documents that an earlier one of the same source and profile, or with the same text, makes unnecessary."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.concat_ws("|", "source_id", "profile").alias("request_key"), F.sha2("text", 256).alias("analysis_key"), (F.col("created_at") < F.to_timestamp(F.lit("2025-07-01T00:00:00Z"))).alias("early"))
+    earlier = rows.where("early").select(F.col("doc_id").alias("run_id"), "request_key", "analysis_key")
+    return graph.reusable(rows.where("NOT early").select("doc_id", "request_key", "analysis_key"), earlier, "request_key", "analysis_key", "run_id").where("run_id IS NOT NULL").select("doc_id", "run_id", "reused")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         url_identity, source_identities, content_fingerprint, content_dedupe, artifact_usage, clock_labels, safe_names, time_prefixes, clean_cues, half_even_ms, quarter_coverage, row_invariants, vtt_roundtrip,
-        json3_roundtrip, topic_packs, source_packs, digest_document, vault_notes, vault_links, json_documents, topic_summaries, retention_compact, retention_private, claim_scores, event_sessions,
+        json3_roundtrip, topic_packs, source_packs, digest_document, vault_notes, vault_links, json_documents, topic_summaries, retention_compact, retention_private, claim_scores, event_sessions, job_graph, reuse_lookup,
     )
 }
 
@@ -315,6 +330,17 @@ SQL: dict[str, str] = {
         WITH {_OBJECTS} SELECT digest, 'private_after_export' AS reason, size FROM o WHERE digest IN (SELECT digest FROM d WHERE source_id IN (SELECT source_id FROM x))
         AND digest NOT IN (SELECT digest FROM d WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM x))
     """,
+    "job_graph": f"""
+        WITH e AS (SELECT DISTINCT source_id, regexp_extract(topic_id, '^(.*)-topic-\\d+$', 1) AS c, topic_id AS t FROM (SELECT * FROM evidence WHERE evidence_id IS NOT NULL AND source_id IS NOT NULL AND topic_id IS NOT NULL))
+        SELECT source_id, source_id || ':topic:' || t AS job_id, 'topic' AS kind, 20 AS priority, CAST(0 AS BIGINT) AS waits FROM e
+        UNION ALL SELECT source_id, source_id || ':chapter:' || c, 'chapter', 10, count(*) FROM e GROUP BY source_id, c
+        UNION ALL SELECT source_id, source_id || ':compose', 'compose', 5, count(DISTINCT c) FROM e GROUP BY source_id
+    """,
+    "reuse_lookup": """
+        WITH d AS (SELECT doc_id, concat_ws('|', source_id, profile) AS k, sha256(text) AS a, created_at < TIMESTAMPTZ '2025-07-01T00:00:00Z' AS early FROM documents WHERE text IS NOT NULL),
+        x AS (SELECT k, min(doc_id) AS r FROM d WHERE early GROUP BY 1), y AS (SELECT a, min(doc_id) AS r FROM d WHERE early GROUP BY 1)
+        SELECT doc_id, coalesce(x.r, y.r) AS run_id, CASE WHEN x.r IS NOT NULL THEN 'request_key' WHEN y.r IS NOT NULL THEN 'analysis_key' END AS reused FROM d LEFT JOIN x USING (k) LEFT JOIN y USING (a) WHERE NOT early AND coalesce(x.r, y.r) IS NOT NULL
+    """,
     "event_sessions": """
         WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 21600000000 THEN 0 ELSE 1 END AS f FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
         g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e)

@@ -61,3 +61,23 @@ def test_scores(spark):
     r = scoring.scores(claims, matches, spark.createDataFrame([("s", 600_000)], "source_id string, duration_ms bigint")).first()
     assert (r.claims, r.matched, r.recall, r.timestamp_accuracy, r.quarters) == (2, 1, 0.5, 0.0, 0.25)
     assert scoring.similarity("A  b", "a b") == 1.0 and scoring.similarity("", "a") == 0.0 and scoring.similarity(None, "a") == 0.0
+
+
+def test_three_passes(spark):
+    def stop(text, complaint):
+        raise ValueError("no") if "bad" in text else None
+
+    def mark(text, complaint):
+        if "bad" in text:
+            raise ValueError("no")
+        return {"summary": text + "!", "concepts": []}
+
+    df = spark.createDataFrame([(1, "One. Two."), (2, "bad")], "id int, text string")
+    got = {r.id: (r.document, r.error) for r in synthesis.composed(df, ["id"], "text", mark, mark, mark).collect()}
+    assert got[1][0].count("!") == 3 and got[2] == (None, "ValueError: no")
+
+
+def test_last_message(spark):
+    lines = '{"type":"x","item":{"type":"agent_message","text":"one"}}\nnoise\n{"usage":{"in":1}}\n{"item":{"type":"agent_message","text":"two"}}\n{"usage":{"in":2,"out":3}}'
+    df = spark.createDataFrame([(lines,), ("",), (None,)], "l string").select(synthesis.last_message(F.col("l")).alias("m"))
+    assert [(r.m.text, r.m.usage) for r in df.collect()] == [("two", {"in": 2, "out": 3}), (None, None), (None, None)]

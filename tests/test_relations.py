@@ -76,3 +76,15 @@ def test_sessions_of_a_stream(spark, tmp_path):
     query = sessions(stream, "k", "at", "10 minutes", "1 hour").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.k, r.events) for r in spark.table("closed").collect()} == {("a", 2), ("b", 1), ("a", 1)}
+
+
+def test_job_graph_reuse_leases_and_removal(spark):
+    topics = spark.createDataFrame([("s", "c1", "t1"), ("s", "c1", "t2"), ("s", "c2", "t3"), ("s", "c1", "t1"), (None, "c", "t")], "source_id string, chapter_id string, topic_id string")
+    jobs, edges = graph.analysis_graph(topics)
+    assert {(r.kind, r["count"]) for r in jobs.groupBy("kind").count().collect()} == {("topic", 3), ("chapter", 2), ("compose", 1)} and edges.count() == 5
+    requests, runs = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3"), (None, "2")], "a string, b string"), spark.createDataFrame([("x", "9", "r1"), ("q", "2", "r2"), ("q", "2", "r3")], "a string, b string, r string")
+    assert {tuple(r) for r in graph.reusable(requests, runs, "a", "b", "r").collect()} == {("x", "1", "r1", "a"), ("y", "2", "r2", "b"), ("z", "3", None, None), (None, "2", "r2", "b")}
+    held = spark.createDataFrame([("a", "running", "w", 5), ("b", "running", "w", 50), ("c", "pending", None, None)], "id string, status string, worker_id string, lease_expires_at int")
+    assert {tuple(r) for r in graph.expired(held, F.lit(10)).collect()} == {("a", "pending", None, None), ("b", "running", "w", 50), ("c", "pending", None, None)}
+    left = graph.without({"jobs": (held, "id")}, spark.createDataFrame([("a",), ("a",), (None,)], "x string"))
+    assert {r.id for r in left["jobs"].collect()} == {"b", "c"}

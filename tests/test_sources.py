@@ -60,3 +60,21 @@ def test_media_identity(spark, tmp_path):
 def test_latest_is_decided_by_all_kept_columns(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 2, "b"), ("a", 2, "a"), (None, 9, "z")], "k string, at int, v string")
     assert [tuple(r) for r in latest(df, ["k"], "at", ["v"]).collect()] == [("a", "b")]
+
+
+def test_files_stay_in_their_folder(spark, tmp_path):
+    from cuewright.sources.sinks import write_files
+
+    df = spark.createDataFrame([("a/b.md", "ä"), ("../up.md", "x"), ("/abs.md", "x"), ("none.md", None), (None, "x"), ("a/b.md", "z")], "path string, content string")
+    got = {r.path: (r.bytes, r.error) for r in write_files(df, str(tmp_path / "out")).collect()}
+    assert got == {"a/b.md": (1, None), "../up.md": (0, "leaves its folder"), "/abs.md": (0, "leaves its folder"), "none.md": (0, None)}
+    assert (tmp_path / "out/a/b.md").read_text() == "z" and sorted(p.name for p in (tmp_path / "out").rglob("*.md")) == ["b.md", "none.md"]
+
+
+def test_references(spark, tmp_path):
+    from cuewright.sources.sinks import read_references
+
+    (tmp_path / "a.json").write_text(json.dumps({"source_id": "s", "language": "en", "duration_ms": 9, "claims": [{"text": "t", "evidence": "e", "timestamp_ms": 1}]}))
+    (tmp_path / "b.json").write_text("{")
+    claims, bad = read_references(spark, str(tmp_path))
+    assert [(r.source_id, r.claim_no, r.tolerance_ms) for r in claims.collect()] == [("s", 0, 30_000)] and bad.count() == 1
