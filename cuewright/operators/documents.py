@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cuewright.functions.text import clock, provenance_label, safe_name
+from cuewright.operators.ordered import join_one
 
 
 def digests(topics: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def named_notes(notes: DataFrame) -> DataFrame:
 
 def vault(notes: DataFrame, urls: DataFrame) -> DataFrame:
     """Files of a vault: ``source_id, path, content``, one a note. ``notes`` have ``source_id, topic_id, title, summary``, ``urls`` ``source_id, canonical_url``."""
-    rows = named_notes(notes).join(urls.select("source_id", "canonical_url"), "source_id", "left")
+    rows = join_one(named_notes(notes), urls.select("source_id", "canonical_url"), "source_id", "topic_id")
     head = F.concat(F.lit("---\nsource: "), F.coalesce("canonical_url", F.lit("")), F.lit("\ntopic_id: "), "topic_id", F.lit("\n---\n\n# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("summary", F.lit("")), F.lit("\n"))
     return rows.select("source_id", F.concat("name", F.lit(".md")).alias("path"), head.alias("content"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cuewright.operators.ordered import cell
+from cuewright.operators.ordered import cell, join_one
 from cuewright.staging import stage
 
 
@@ -84,8 +84,9 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def exclusive(rows: DataFrame, key: str, selected: DataFrame, by: str) -> DataFrame:
     """Values of ``key`` that only rows whose ``by`` is in ``selected`` refer to: a semi-join less an anti-join."""
-    mine = rows.join(selected.select(by), by, "left_semi").select(key).distinct()
-    others = rows.join(selected.select(by), by, "left_anti").select(key).distinct()
+    each, chosen = rows.select(key, by).distinct(), selected.select(by).distinct()
+    mine = join_one(each, chosen, by, key, "left_semi").select(key).distinct()
+    others = join_one(each, chosen, by, key, "left_anti").select(key).distinct()
     return mine.where(F.col(key).isNotNull()).join(others, key, "left_anti")
 
 

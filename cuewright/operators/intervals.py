@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cuewright.operators.ordered import CELL_MS, cell, neighbour
+from cuewright.operators.ordered import CELL_MS, cell, join_one, neighbour
 from cuewright.staging import stage
 
 #: Intervals that one task keeps before it passes its partial maps on.
@@ -121,7 +121,7 @@ def merged_periods(periods: DataFrame) -> DataFrame:
     # a period ends where the cover before the next head ends, the last one where the key ends
     heads = neighbour(heads, ["_key"], ["_start"], ["_reach"], "_next", forward=True)
     last = periods.groupBy("_key").agg(F.max("_end").alias("_last"))
-    return heads.join(last, "_key").select("_key", F.col("_start").alias("period_start_ms"), F.coalesce("_next_reach", "_last").alias("period_end_ms"))
+    return join_one(heads, last, "_key", "_start", "inner").select("_key", F.col("_start").alias("period_start_ms"), F.coalesce("_next_reach", "_last").alias("period_end_ms"))
 
 
 def uncovered(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def uncovered(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     periods = stage(cell_periods(segments, "source_id", "start_ms", "end_ms"), "periods")
     last = periods.groupBy(F.col("_key").alias("source_id")).agg(F.max("_end").alias("_last"))
     known = transcripts.where("source_id IS NOT NULL").select("source_id", F.col("duration_ms").cast("bigint").alias("_duration"))
-    inner = gaps_within(periods).withColumnRenamed("_key", "source_id").join(known.select("source_id"), "source_id", "left_semi")
+    inner = join_one(gaps_within(periods).withColumnRenamed("_key", "source_id"), known.select("source_id"), "source_id", "gap_start_ms", "left_semi")
     tail = known.join(last, "source_id", "left").select("source_id", F.coalesce("_last", F.lit(0)).alias("gap_start_ms"), F.col("_duration").alias("gap_end_ms"))
     return inner.unionByName(tail.where("gap_end_ms > gap_start_ms"))
 
@@ -143,4 +143,4 @@ def spoken_periods(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Continuous spoken periods per known source: ``source_id, period_start_ms, period_end_ms``."""
     known = transcripts.where("source_id IS NOT NULL").select("source_id").distinct()
     found = merged_periods(stage(cell_periods(segments, "source_id", "start_ms", "end_ms"), "periods"))
-    return found.withColumnRenamed("_key", "source_id").join(known, "source_id", "left_semi")
+    return join_one(found.withColumnRenamed("_key", "source_id"), known, "source_id", "period_start_ms", "left_semi")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cuewright.functions.text import quarter
-from cuewright.operators.ordered import cell, running
+from cuewright.operators.ordered import cell, join_one, running
 
 #: Similarity from which a point states a claim, and from which its evidence is the claim's.
 STATES, SUPPORTS = 0.55, 0.45
@@ -85,7 +85,7 @@ def matched(pairs: DataFrame) -> DataFrame:
 def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per source: ``claims, matched, recall, evidence_coverage, timestamp_accuracy, quarters``; shares of its claims, quarters of four."""
     n = claims.groupBy("source_id").agg(F.count("*").alias("claims"))
-    rows = matches.join(lengths, "source_id", "left")
+    rows = join_one(matches, lengths.select("source_id", "duration_ms"), "source_id", "claim_id")
     found = rows.groupBy("source_id").agg(
         F.count("*").alias("matched"),
         F.count_if(F.col("evidence_score") >= SUPPORTS).alias("e"),

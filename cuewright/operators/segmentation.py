@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuewright.functions.text import chapter_cap, numbered
-from cuewright.operators.ordered import cell, neighbour, running
+from cuewright.operators.ordered import cell, join_one, neighbour, running
 from cuewright.sources.tables import valid_chapters, valid_transcripts
 
 #: How far from the target a topic may end, the score of a sentence's end, the longest pause that adds to it, and what distance takes off.
@@ -26,7 +26,7 @@ def closed_chapters(chapters: DataFrame, transcripts: DataFrame) -> DataFrame:
     valid = neighbour(valid, ["source_id"], ["start_ms", "ord", "chapter_id"], ["start_ms"], "_next_", forward=True)
     lengths = valid_transcripts(transcripts, ["duration_ms"])
     end = F.coalesce("end_ms", "_next_start_ms", "duration_ms")
-    return valid.join(lengths, "source_id", "left").select("source_id", "chapter_id", "ord", "title", "start_ms", end.alias("end_ms")).where("end_ms IS NOT NULL")
+    return join_one(valid, lengths, "source_id", "chapter_id").select("source_id", "chapter_id", "ord", "title", "start_ms", end.alias("end_ms")).where("end_ms IS NOT NULL")
 
 
 def coalesced(chapters: DataFrame, lengths: DataFrame, depth: str) -> DataFrame:
@@ -35,11 +35,11 @@ def coalesced(chapters: DataFrame, lengths: DataFrame, depth: str) -> DataFrame:
     Where there are more, neighbours are joined in groups of equal size: first title and start, last end, new ids.
     Sources of ``lengths`` (``source_id, duration_ms``) without chapters get one over their whole duration.
     """
-    proper = chapters.where("end_ms > start_ms").join(lengths, "source_id")
+    proper = join_one(chapters.where("end_ms > start_ms"), lengths.select("source_id", "duration_ms"), "source_id", "chapter_id", "inner")
     counted = proper.groupBy("source_id").agg(F.count("*").alias("_n"))
     timed = proper.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", cell(F.col("start_ms")))
     numbers = running(timed, ["source_id"], ["start_ms", "ord", "chapter_id"], {"_k": ("sum", "_one")})  # chapters before each
-    placed = numbers.join(counted, "source_id").withColumn("_cap", chapter_cap(F.lit(depth), F.col("duration_ms")))
+    placed = join_one(numbers, counted, "source_id", "chapter_id", "inner").withColumn("_cap", chapter_cap(F.lit(depth), F.col("duration_ms")))
     size = F.when(F.col("_n") <= F.col("_cap"), 1).otherwise(F.ceil(F.col("_n") / F.col("_cap")))
     grouped = placed.withColumn("_g", F.floor(F.col("_k") / size).cast("bigint")).groupBy("source_id", "_g").agg(
         F.min_by(F.struct("chapter_id", "title", "start_ms"), "_k").alias("f"), F.max_by("end_ms", "_k").alias("end_ms"), F.first(F.col("_n") > F.col("_cap")).alias("_joined")
@@ -63,17 +63,14 @@ def walk(start: int, end: int, target_ms: int, maximum_ms: int, ends: list[int],
     """
     if end - start <= maximum_ms:
         return [end]
-    out = []
-    while start < end:
-        target, limit = min(start + target_ms, end), min(start + maximum_ms, end)
-        lo, hi = bisect_left(ends, max(start + 1, target - RADIUS_MS)), bisect_right(ends, min(limit, target + RADIUS_MS))
-        stop = max(((scores[i] - abs(ends[i] - target) * PER_MS, ends[i]) for i in range(lo, hi)), default=(0, min(target, limit)))[1]
-        if end - stop < target_ms // 2:
-            stop = end
-        stop = min(stop, start + maximum_ms)
-        out.append(stop)
-        start = stop
-    return out
+    stops = [start]
+    while (at := stops[-1]) < end:
+        ideal, furthest = min(end, at + target_ms), min(end, at + maximum_ms)
+        near = range(bisect_left(ends, max(at + 1, ideal - RADIUS_MS)), bisect_right(ends, min(furthest, ideal + RADIUS_MS)))
+        best = max(near, key=lambda k: (scores[k] - abs(ends[k] - ideal) * PER_MS, ends[k]), default=None)
+        stop = ideal if best is None else ends[best]
+        stops.append(min(end if end - stop < target_ms // 2 else stop, at + maximum_ms))
+    return stops[1:]
 
 
 TOPICS = "source_id string, chapter_id string, title string, chapter_start bigint, position int, topics int, start_ms bigint, end_ms bigint"

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cuewright.operators.ordered import salted, spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -33,12 +35,13 @@ def valid_chapters(df: DataFrame) -> DataFrame:
     return latest(df, ["source_id", "chapter_id"], "received_at", ["ord", "title", "start_ms", "end_ms"])
 
 
-def counted_cues(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Cues of known sources, each (``source_id``, ``seg_idx``) once: ``source_id, seg_idx, start_ms, end_ms, text, speaker``.
+def counted_cues(segments: DataFrame, transcripts: DataFrame, keep: tuple[str, ...] = ("start_ms", "end_ms", "text", "speaker")) -> DataFrame:
+    """Cues of known sources, each (``source_id``, ``seg_idx``) once: ``source_id, seg_idx`` and the columns to ``keep``.
 
-    Deliveries of one cue differ in spacing or markup only; the least stays. Null keys are dropped.
+    Deliveries of one cue differ in spacing or markup only; the least stays. Null keys are dropped. The salt follows from
+    the index, so one shuffle by (source, salt) serves both steps and splits a long recording.
     """
-    known = transcripts.where("source_id IS NOT NULL").select("source_id").distinct()
-    rows = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL").join(known, "source_id", "left_semi")
-    least = rows.groupBy("source_id", "seg_idx").agg(F.min(F.struct("start_ms", "end_ms", "text", "speaker")).alias("c"))
+    known = spread(transcripts.where("source_id IS NOT NULL").select("source_id").distinct())
+    rows = salted(segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL"), "seg_idx").join(known, ["source_id", "_salt"], "left_semi")
+    least = rows.groupBy("source_id", "_salt", "seg_idx").agg(F.min(F.struct(*keep)).alias("c"))
     return least.select("source_id", "seg_idx", "c.*")
