@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from cuewright.operators.ordered import cell, neighbour
 from cuewright.operators.segmentation import closed_chapters
 from cuewright.sources.tables import counted_cues
+from cuewright.staging import stage
 
 #: A pause this long between two cues is a boundary, even without the end of a sentence.
 PAUSE_MS = 1_500
@@ -53,20 +54,24 @@ def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["policy_id", "source_id", "chapter_id", "start_ms", "end_ms"]].assign(pieces=pieces)
 
 
-def cue_boundaries(cues: DataFrame) -> DataFrame:
-    """Of each cue ``source_id, at, words, boundary``: its start, number of words, and its end if a sentence ends or a pause follows there, else null."""
+def cue_boundaries(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Of each cue ``source_id, at, words, boundary``: its start, number of words, and its end if a sentence ends or a pause follows there, else null.
+
+    What is needed of the texts is taken from them before anything is shuffled.
+    """
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]*>|[\[(][^\])]*[\])]|♪", " ")
-    rows = cues.where("start_ms IS NOT NULL").select(
+    each = segments.where("start_ms IS NOT NULL").select(
         "source_id",
+        "seg_idx",
         F.col("start_ms").alias("at"),
-        F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms")).alias("_end"),
-        plain.rlike(r"[.!?。！？…][\s\"'”’»)\]*]*\z").alias("_sentence"),
+        F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms")).alias("end"),
+        plain.rlike(r"[.!?。！？…][\s\"'”’»)\]*]*\z").alias("sentence"),
         F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != "")).alias("words"),
-        "seg_idx",
     )
+    rows = stage(counted_cues(each, transcripts, keep=("at", "end", "sentence", "words")), "cues")
     rows = neighbour(rows.withColumn("_cell", cell(F.col("at"))), ["source_id"], ["at", "seg_idx"], ["at"], "_next_", forward=True)
-    end = F.coalesce("_end", "_next_at")
-    natural = F.col("_sentence") | (F.col("_next_at") - end >= PAUSE_MS)
+    end = F.coalesce("end", "_next_at")
+    natural = F.col("sentence") | (F.col("_next_at") - end >= PAUSE_MS)
     return rows.select("source_id", "at", "words", F.when(natural, end).alias("boundary"))
 
 
@@ -91,7 +96,7 @@ def split_chapters(chapters: DataFrame, transcripts: DataFrame, segments: DataFr
     long = closed.where(F.col("end_ms") - F.col("start_ms") > least)
 
     cells = long.withColumn("_cell", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms") - 1))))
-    marks = cue_boundaries(counted_cues(segments, transcripts)).withColumn("_cell", cell(F.col("at")))
+    marks = cue_boundaries(segments, transcripts).withColumn("_cell", cell(F.col("at")))
     met = marks.join(cells, ["source_id", "_cell"]).where("at >= start_ms AND at < end_ms")
     per = met.groupBy("source_id", "chapter_id").agg(F.collect_list(F.struct("at", "words", "boundary")).alias("_cues"))
     jobs = long.join(per, ["source_id", "chapter_id"], "left").withColumn("_p", F.explode(F.array(*of))).where("end_ms - start_ms > _p.maximum_ms")
