@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.operators.ordered import cell, neighbour
+from cuewright.sources.tables import counted_cues
 from cuewright.staging import stage
 
 #: People that the name index may hold on each worker; a directory beyond it is refused rather than cut.
@@ -238,8 +239,7 @@ def spoken_parts(segments: DataFrame, speakers: DataFrame, transcripts: DataFram
     """Parts with words, of cues of known sources, each cue once: ``source_id, start_ms, seg_idx, part, person, text``."""
     parts = stage(cue_parts(segments, speakers, with_text), "parts")
     wrong = sorted(r[0] for r in layouts(parts).where("NOT is_speaker").select("layout").collect())  # shapes, not values: a few hundred
-    known = transcripts.where("source_id IS NOT NULL").select("source_id").distinct()
-    once = parts.join(known, "source_id", "left_semi").groupBy("source_id", "seg_idx").agg(F.min(F.struct("start_ms", "parts")).alias("c"))
+    once = counted_cues(parts, transcripts, keep=("start_ms", "parts")).select("source_id", "seg_idx", F.struct("start_ms", "parts").alias("c"))
     merged = once.select("source_id", "seg_idx", "c.start_ms", F.posexplode(_merged("c.parts", wrong)).alias("part", "p"))
     return merged.where("p.words").select("source_id", "start_ms", "seg_idx", "part", "p.person", "p.text")
 
