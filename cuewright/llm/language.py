@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.llm.turns import _LABEL, _SOUND, _TAGS, _TIMES, _VOICE, HESITATION
-from cuewright.sources.tables import valid_transcripts
+from cuewright.operators.ordered import join_one
+from cuewright.sources.tables import counted_cues, valid_transcripts
 from cuewright.staging import stage
 
 # Spellings of the languages in labels, folded to lower case.
@@ -219,8 +220,7 @@ def cue_languages(segments: DataFrame, transcripts: DataFrame) -> tuple[DataFram
     known = segments.sparkSession.sparkContext.broadcast(model)  # n-grams of the sample
     cues = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("source_id", F.col("seg_idx").cast("int"), "text")
     scored = cues.mapInPandas(lambda b: _classify(known.value, b), "source_id string, seg_idx int, top int, confidence double, words int, signs int")
-    once = scored.groupBy("source_id", "seg_idx").agg(F.max(F.struct("confidence", "top", "words", "signs")).alias("c")).select("source_id", "seg_idx", "c.*")
-    return stage(once.join(labels.select("source_id"), "source_id", "left_semi"), "languages"), labels
+    return stage(counted_cues(scored, labels, keep=("confidence", "top", "words", "signs")), "languages"), labels
 
 
 def _code(number: str) -> Column:
@@ -245,5 +245,5 @@ def spoken_languages(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     main = stage(main_languages(cues), "main")
     whole = main.join(labels, "source_id").select("source_id", F.lit(-1).alias("seg_idx"), _code("main").alias("language"), "confidence", F.coalesce(F.col("named") == _code("main"), F.lit(False)).alias("label_agrees"))
     sure = cues.where(((F.col("confidence") >= SURE) & (F.col("words") >= LEAST_WORDS)) | ((F.col("confidence") >= SURE_SIGNS) & (F.col("signs") >= LEAST_SIGNS)))
-    other = sure.join(main.select("source_id", "main"), "source_id").where("top <> main")
+    other = join_one(sure, main.select("source_id", "main"), "source_id", "seg_idx", "inner").where("top <> main")
     return whole.unionByName(other.select("source_id", "seg_idx", _code("top").alias("language"), "confidence", F.lit(None).cast("boolean").alias("label_agrees")))
