@@ -20,6 +20,8 @@ USUALLY = 0.6
 OFTEN = 30
 #: Characters of the prefix that is hashed to find longer copies; shorter texts are judged by their last word only.
 HEAD = 32
+#: Characters at the end in which what follows a finished text is looked for.
+TRAILER = 500
 #: Keys that one task counts before it passes its counts on.
 HELD = 300_000
 #: A field limit: so many texts of a source without their end have about this length, and this share of those of nearby lengths.
@@ -54,9 +56,9 @@ def ending(text: str) -> tuple[str, str | None, str | None, int]:
     body = text.rstrip().rstrip("​﻿").rstrip()
     if not body:
         return "empty", None, None, 0
-    trimmed = _TRAILER.sub("", body) if body[-1] in ")]*♪" or "\n" in body[-80:] else body
-    if trimmed.strip():
-        body = trimmed.rstrip()
+    trailer = _TRAILER.search(body, max(0, len(body) - TRAILER)) if body[-1] in ")]*♪" or "\n" in body[-80:] else None
+    if trailer and body[: trailer.start()].strip():
+        body = body[: trailer.start()].rstrip()
     if body.endswith("�") or _OPEN.search(body) or _ITEM_NUMBER.search(body):
         return "cut", None, None, len(body)
     m = _ENTITY.search(body)
@@ -105,6 +107,12 @@ def count_ends(text: str, ends: Counter, total: Counter) -> int:
     return stops
 
 
+def _sentence_like(text: str) -> bool:
+    """Whether the last line has several words and is no item of a list: where nothing else shows how a text marks its sentences, it should end in a mark."""
+    last = text.rstrip().rpartition("\n")[2].lstrip()
+    return not last.startswith(("- ", "* ", "• ", "+ ")) and (len(last.split()) >= 4 or len(_ANY_CJK.findall(last)) >= 8)
+
+
 ROWS = "doc_id bigint, source string, state string, punctuated boolean, head bigint, chars bigint, bytes bigint, key string, wider string, ends bigint, total bigint"
 
 
@@ -124,7 +132,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state, key, wider, at = ending(text)
             stops = count_ends(text[:at], ends, total) if state != "empty" else 0
             lines = sum(1 for x in text.split("\n")[:-1] if len(x) > 20 and x[0] != "#")  # but headings and the line in question
-            punctuated = 2 * stops >= max(2, lines)
+            punctuated = 2 * stops >= max(2, lines) or (not stops and not lines and _sentence_like(text))
             head = int.from_bytes(hashlib.blake2b(text[:HEAD].encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if len(text) >= HEAD else None
             out.append((doc, source, state, punctuated, head, len(text), len(text.encode("utf-8", "replace")), key, wider, None, None))
         yield pd.DataFrame(out, columns=names, dtype=object)
@@ -143,8 +151,8 @@ def _has_longer_copy(texts: DataFrame, ends: DataFrame) -> DataFrame:
     no group of texts with one beginning has to fit a task.
     """
     heads = ends.where("head IS NOT NULL").groupBy("head").agg(F.count("*").alias("n"), F.max(F.col("state").isin("open", "dots")).alias("open")).where("n > 1 AND open")
-    ids = ends.join(heads.select("head"), "head", "left_semi").select("doc_id", "state")
-    some = texts.join(ids, "doc_id").select("doc_id", "state", F.regexp_replace("text", r"(?U)[\s.。…]+\z", "").alias("t"))
+    ids = stage(ends.join(heads.select("head"), "head", "left_semi").select("doc_id", "state"), "heads")  # few as a rule: then the texts are not shuffled
+    some = stage(texts.join(ids, "doc_id").select("doc_id", "state", F.regexp_replace("text", r"(?U)[\s.。…]+\z", "").alias("t")), "beginnings")
     distinct = some.groupBy("t").agg(F.max(F.col("state").isin("open", "dots")).alias("open"))
     ranged = stage(distinct.repartitionByRange("t").sortWithinPartitions("t").withColumn("_part", F.spark_partition_id()), "sorted")
     near = Window.partitionBy("_part").orderBy("t")
@@ -185,7 +193,7 @@ def judged(documents: DataFrame) -> DataFrame:
     known = known.join(copies, "doc_id", "left")
 
     unfinished = F.col("state").isin("open", "dots")
-    unusual = F.when(F.col("state") == "dots", F.col("share").isNotNull()).otherwise(F.lit(True)) & ~((F.coalesce("share", F.lit(0.0)) >= USUALLY) & (F.coalesce("total", F.lit(0)) >= OFTEN))
+    unusual = F.when(F.col("state") == "dots", F.col("share").isNotNull()).otherwise(F.lit(True)) & ~((F.coalesce("share", F.lit(0.0)) >= USUALLY) & (F.coalesce("total", F.lit(0)) >= OFTEN) & (F.length("key") > 1))  # one letter may be an abbreviation
     reason = (
         F.when(F.col("state") == "cut", "broken")
         .when(~unfinished, None)
@@ -204,7 +212,7 @@ def judged(documents: DataFrame) -> DataFrame:
     limits = spread.withColumn("near", near).withColumn("around", around).where((F.col("near") >= LIMIT_TEXTS) & (F.col("near") >= LIMIT_SHARE * F.col("around"))).select("source", "unit", "length", F.lit(True).alias("at_limit"))
     final = first.join(limits, ["source", "unit", "length"], "left")
     each = final.groupBy("doc_id", "source", "state", "reason").agg(F.max("at_limit").alias("at_limit"), F.count("*").alias("n"))
-    why = F.coalesce("reason", F.when(F.col("at_limit") & F.col("state").isin("open"), "limit"))
+    why = F.coalesce("reason", F.when(F.col("at_limit") & F.col("state").isin("open", "dots"), "limit"))
     return each.select("doc_id", "source", F.explode(F.array_repeat(why, F.floor(F.col("n") / 2).cast("int"))).alias("reason")).select("doc_id", "source", F.col("reason").isNotNull().alias("truncated"), "reason")
 
 
