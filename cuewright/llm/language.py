@@ -61,7 +61,8 @@ def spoken_words(text: str | None) -> list[str]:
         text = _SOUND.sub(" ", text)
         if ":" in text or "：" in text:
             text = _LABEL.sub(" ", text)
-    return [w for w in _WORD.findall(text.lower()) if not HESITATION.fullmatch(w)]
+    words = [w for w in _WORD.findall(text.lower()) if not HESITATION.fullmatch(w)]
+    return words if max(map(len, words), default=0) <= 64 else [w[i : i + 32] for w in words for i in range(0, len(w), 32)]
 
 
 def grams(word: str) -> list[str]:

@@ -38,6 +38,7 @@ _LABEL = re.compile(
 )
 _SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|[♪\x01\x02]|<[^<>]*>")
 _PLAIN = re.compile(r"[^\W_]+(?:['’ー〜-]+[^\W_]*)*")
+_SPACES = re.compile(r"\s{2,}")
 _NUMBERED = re.compile(r"\s*speaker[ _]*(\d{1,9})\s*", re.I)
 
 
@@ -164,6 +165,8 @@ def parts_of(text: str | None, speaker: str | None, find: Callable[[str], int |
     """A cue as parts (layout, person or None, whether it has words, text), cut at everything that looks like a label."""
     head = ("column " + _shape(speaker), find(speaker)) if speaker and speaker.strip() else ("", None)
     text = (text or "").replace("\xa0", " ")
+    if len(text) > 1000:
+        text = _SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", text)  # long runs would be searched again and again
     if not ("<" in text or ":" in text or "：" in text or "[" in text or "(" in text):
         return [(*head, has_words(text), text)]
     if "<" in text:
