@@ -27,6 +27,10 @@ def test_spoken_words():
     assert spoken_words(None) == [] and spoken_words("♪♪♪") == []
 
 
+def test_very_long_words():
+    assert len(spoken_words("x" * 300_000)) == 9375 and language.grams("abc")[:3] == ["a", "b", "c"]
+
+
 def corpus(seed, n):
     rnd = random.Random(seed)
     out = []

@@ -20,6 +20,16 @@ def test_endings(text, state):
     assert ending(text)[0] == state
 
 
+@pytest.mark.parametrize("text", ["x" * 300_000, "#a " * 50_000 + "x", "(" * 100_000, "\n" * 100_000 + "a", "[" * 100_000, "♪ " * 50_000, "a. " * 50_000 + "b\n#c", "<a" * 50_000])
+def test_endings_of_very_long_texts_take_no_time(text):
+    import time
+
+    start = time.perf_counter()
+    ending(text)
+    truncation._sentence_like(text)
+    assert time.perf_counter() - start < 2
+
+
 NOUNS, VERBS, ADJECTIVES = ["looms", "harbors", "lanterns", "furnaces", "meadows", "kilns"], ["surround", "protect", "measure", "strengthen"], ["northern", "stubborn", "granular", "portable"]
 
 
