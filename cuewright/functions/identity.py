@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Hosts of the video site in the test data and in public use, and suffixes of media files.
-VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "clips.example", "www.clips.example", "m.clips.example")
-SHORT_HOSTS = ("youtu.be", "www.youtu.be", "go.clips.example")
-MEDIA_SUFFIXES = (".aac", ".flac", ".m4a", ".m4v", ".mkv", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".ogg", ".opus", ".wav", ".webm")
+VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "clips.example", "www.clips.example", "m.clips.example")
+SHORT_HOSTS = ("youtu.be",)
+MEDIA_SUFFIXES = (".aac", ".flac", ".m4a", ".mkv", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".oga", ".ogg", ".opus", ".wav", ".webm")
 
 VIDEO_ID = r"^[A-Za-z0-9_-]{11}\z"
 
@@ -21,12 +21,12 @@ def url_path(url: Column) -> Column:
 
 
 def video_id(url: Column) -> Column:
-    """The 11-character id of a video address in any of its forms, or null: short host, ``/watch?v=``, ``/shorts/``, ``/embed/``, ``/live/``."""
+    """The 11-character id of a video's web address in any of its forms, or null: short host, ``/watch?v=``, ``/shorts/``, ``/embed/``."""
     host, path = url_host(url), url_path(url)
     by_query = F.regexp_extract(F.trim(url), r"^[^#]*[?&]v=([^&#]*)", 1)
-    first, second = F.regexp_extract(path, r"^/([^/]+)", 1), F.regexp_extract(path, r"^/(?:shorts|embed|live)/([^/]+)", 1)
-    found = F.when(host.isin(*SHORT_HOSTS), first).when(host.isin(*VIDEO_HOSTS) & (F.rtrim(path, F.lit("/")) == "/watch"), by_query).when(host.isin(*VIDEO_HOSTS), second)
-    return F.when(found.rlike(VIDEO_ID), found)
+    first, second = F.regexp_extract(path, r"^/+([^/]+)", 1), F.regexp_extract(path, r"^/+(?:shorts|embed)/([^/]+)/*\z", 1)
+    found = F.when(host.isin(*SHORT_HOSTS), first).when(host.isin(*VIDEO_HOSTS) & (path == "/watch"), by_query).when(host.isin(*VIDEO_HOSTS), second)
+    return F.when(F.trim(url).rlike("^(?i:https?)://") & found.rlike(VIDEO_ID), found)
 
 
 def canonical_url(vid: Column) -> Column:
@@ -34,9 +34,9 @@ def canonical_url(vid: Column) -> Column:
 
 
 def looks_like_media(value: Column) -> Column:
-    """Whether a value names a local media file: no address but of a file, and one of the known suffixes."""
-    suffix = F.lower(F.regexp_extract(value, r"(\.[^./\\]+)\z", 1))
-    return (~value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | F.lower(value).startswith("file://")) & suffix.isin(*MEDIA_SUFFIXES)
+    """Whether a value names a local media file: no web address, and one of the known suffixes."""
+    suffix = F.lower(F.regexp_extract(value, r"[^/\\](\.[^./\\]+)\z", 1))
+    return ~value.rlike("^(?i:https?):") & suffix.isin(*MEDIA_SUFFIXES)
 
 
 def canonical_json(**fields: Column) -> Column:

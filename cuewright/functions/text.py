@@ -9,8 +9,10 @@ SPACE = r"[ \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F
 # Languages that are accepted whatever was asked for.
 ALWAYS_ACCEPTED = ("ko", "en", "ja")
 # Marks of a failed sign-in and of an exhausted quota in a process's output.
-SIGN_IN_MARKS = ("not logged in", "authentication", "unauthorized", "login required", "auth error")
-QUOTA_MARKS = ("429", "rate limit", "usage limit", "quota")
+SIGN_IN_MARKS = ("not logged", "authentication", "unauthorized", "401")
+QUOTA_MARKS = ("429", "rate limit", "usage limit")
+# Names of origins in documents.
+ORIGINS = {"source": "Source", "ai_explanation": "AI Explanation", "external_research": "External Research"}
 
 
 def clean_text(text: Column) -> Column:
@@ -67,8 +69,7 @@ def language_accepted(found: Column, wanted: Column) -> Column:
 
 def provenance_label(provenance: Column) -> Column:
     """How documents name a claim's origin; unknown ones by themselves."""
-    names = {"source": "Source", "ai_explanation": "AI explanation", "external": "External", "user_provided": "User provided"}
-    return F.coalesce(*[F.when(provenance == k, F.lit(v)) for k, v in names.items()], provenance)
+    return F.coalesce(*[F.when(provenance == k, F.lit(v)) for k, v in ORIGINS.items()], provenance)
 
 
 def quarter(at: Column, duration: Column) -> Column:
@@ -90,8 +91,7 @@ def chapter_cap(depth: Column, duration_ms: Column) -> Column:
 def outcome(stderr: Column, stdout: Column) -> Column:
     """What a failed process's output says: ``auth``, ``rate_limit`` or ``error``; standard output counts where the other is empty."""
     said = F.lower(F.coalesce(F.nullif(stderr, F.lit("")), stdout, F.lit("")))
-    any_of = lambda marks: F.lit(False) if not marks else said.rlike("|".join(marks))
-    return F.when(any_of(SIGN_IN_MARKS), "auth").when(any_of(QUOTA_MARKS), "rate_limit").otherwise("error")
+    return F.when(said.rlike("|".join(SIGN_IN_MARKS)), "auth").when(said.rlike("|".join(QUOTA_MARKS)), "rate_limit").otherwise("error")
 
 
 def unfenced(text: Column) -> Column:

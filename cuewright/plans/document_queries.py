@@ -263,11 +263,11 @@ _OBJECTS = """
 SQL: dict[str, str] = {
     "url_identity": rf"""
         WITH u AS (SELECT DISTINCT canonical_url, lower(regexp_extract(trim(canonical_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(trim(canonical_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM sources WHERE canonical_url IS NOT NULL),
-        v AS (SELECT *, CASE WHEN host IN ({_SHORT}) THEN regexp_extract(path, '^/([^/]+)', 1) WHEN host IN ({_HOSTS}) AND rtrim(path, '/') = '/watch' THEN regexp_extract(trim(canonical_url), '^[^#]*[?&]v=([^&#]*)', 1)
-              WHEN host IN ({_HOSTS}) THEN regexp_extract(path, '^/(?:shorts|embed|live)/([^/]+)', 1) END AS f FROM u),
-        w AS (SELECT *, CASE WHEN regexp_matches(f, '^[A-Za-z0-9_-]{{11}}$') THEN f END AS video_id FROM v)
+        v AS (SELECT *, CASE WHEN host IN ({_SHORT}) THEN regexp_extract(path, '^/+([^/]+)', 1) WHEN host IN ({_HOSTS}) AND path = '/watch' THEN regexp_extract(trim(canonical_url), '^[^#]*[?&]v=([^&#]*)', 1)
+              WHEN host IN ({_HOSTS}) THEN regexp_extract(path, '^/+(?:shorts|embed)/([^/]+)/*$', 1) END AS f FROM u),
+        w AS (SELECT *, CASE WHEN regexp_matches(trim(canonical_url), '^(?i:https?)://') AND regexp_matches(f, '^[A-Za-z0-9_-]{{11}}$') THEN f END AS video_id FROM v)
         SELECT canonical_url, host, video_id, 'https://www.youtube.com/watch?v=' || video_id AS canonical,
-               (NOT regexp_matches(canonical_url, '^[A-Za-z][A-Za-z0-9+.-]*://') OR starts_with(lower(canonical_url), 'file://')) AND lower(regexp_extract(canonical_url, '(\.[^./\\]+)$', 1)) IN ({_MEDIA}) AS is_media FROM w
+               NOT regexp_matches(canonical_url, '^(?i:https?):') AND lower(regexp_extract(canonical_url, '[^/\\](\.[^./\\]+)$', 1)) IN ({_MEDIA}) AS is_media FROM w
     """,
     "source_identities": """
         WITH g AS (SELECT source_id, count(*) AS rows, min(kind) AS kind, min(video_id) AS video_id, min(canonical_url) AS url, min(local_path) AS path FROM sources WHERE source_id IS NOT NULL GROUP BY 1)
@@ -280,7 +280,7 @@ SQL: dict[str, str] = {
     "content_dedupe": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) || '.json.zst' AS path FROM documents WHERE text IS NOT NULL GROUP BY 1, 4",
     "artifact_usage": "SELECT count(*) AS files, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)",
     "clock_labels": f"""
-        SELECT evidence_id, {_CLOCK.format("s")} AS label, CASE p WHEN 'source' THEN 'Source' WHEN 'ai_explanation' THEN 'AI explanation' WHEN 'external' THEN 'External' WHEN 'user_provided' THEN 'User provided' ELSE p END AS origin
+        SELECT evidence_id, {_CLOCK.format("s")} AS label, CASE p WHEN 'source' THEN 'Source' WHEN 'ai_explanation' THEN 'AI Explanation' WHEN 'external_research' THEN 'External Research' ELSE p END AS origin
         FROM (SELECT evidence_id, min(start_ms) AS s, min(provenance) AS p FROM evidence WHERE start_ms IS NOT NULL GROUP BY 1)
     """,
     "safe_names": rf"""WITH {_CHAPTERS} SELECT source_id, chapter_id, coalesce(nullif(trim(regexp_replace(title, '[\\/:*?"<>|]', '-', 'g'), ' .'), ''), 'note') AS name, format('part-{{:03d}}', ord) AS part FROM ch""",
@@ -310,7 +310,7 @@ SQL: dict[str, str] = {
     """,
     "digest_document": rf"""
         WITH {_CLAIMS}, {_CHAPTERS},
-        ln AS (SELECT source_id, topic_id, string_agg('- [' || CASE provenance WHEN 'source' THEN 'Source' WHEN 'ai_explanation' THEN 'AI explanation' WHEN 'external' THEN 'External' WHEN 'user_provided' THEN 'User provided' ELSE provenance END || '] ' || text
+        ln AS (SELECT source_id, topic_id, string_agg('- [' || CASE provenance WHEN 'source' THEN 'Source' WHEN 'ai_explanation' THEN 'AI Explanation' WHEN 'external_research' THEN 'External Research' ELSE provenance END || '] ' || text
                || CASE WHEN start_ms IS NULL THEN '' ELSE ' (' || {_CLOCK.format("start_ms")} || ')' END, chr(10) ORDER BY claim_no NULLS FIRST, evidence_id) AS lines FROM cl GROUP BY 1, 2),
         se AS (SELECT source_id, regexp_extract(topic_id, '^(.*)-topic-\d+$', 1) AS chapter_id, string_agg('### ' || topic_id || chr(10) || chr(10) || lines, chr(10) || chr(10) ORDER BY topic_id) AS body FROM ln GROUP BY 1, 2)
         SELECT se.source_id, se.chapter_id, '## ' || coalesce(nullif(trim(title), ''), se.chapter_id) || chr(10) || chr(10) || body || chr(10) AS document FROM se LEFT JOIN ch USING (source_id, chapter_id)

@@ -10,7 +10,7 @@ def test_packs_and_digest(spark):
     packs = synthesis.topic_packs(spark.createDataFrame(rows, EVIDENCE))
     assert [(r.topic_id, [c.text for c in r.claims]) for r in packs.collect()] == [("c-topic-001", ["first", "second"])]
     chapters = spark.createDataFrame([("s", "c", "Intro")], "source_id string, chapter_id string, title string")
-    assert docs.digests(packs, chapters).first().document == "## Intro\n\n### c-topic-001\n\n- [Source] first (01:05)\n- [AI explanation] second\n"
+    assert docs.digests(packs, chapters).first().document == "## Intro\n\n### c-topic-001\n\n- [Source] first (01:05)\n- [AI Explanation] second\n"
     again = synthesis.topic_packs(spark.createDataFrame(rows[::-1], EVIDENCE))
     assert again.first().fingerprint == packs.first().fingerprint
     titles = spark.createDataFrame([("s", "T")], "source_id string, title string")
