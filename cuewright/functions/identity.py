@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Hosts of the video site in the test data and in public use, and suffixes of media files.
 VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "clips.example", "www.clips.example", "m.clips.example")
-SHORT_HOSTS = ("youtu.be",)
+SHORT_HOSTS = ("youtu.be", "clp.example")
 MEDIA_SUFFIXES = (".aac", ".flac", ".m4a", ".mkv", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".oga", ".ogg", ".opus", ".wav", ".webm")
 
 VIDEO_ID = r"^[A-Za-z0-9_-]{11}\z"
