@@ -22,6 +22,12 @@ def p1_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.turn_texts(*_p1(spark, folder))
 
 
+def p1_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """The mined layouts and whether their slot holds speakers."""
+    segments, speakers, _ = _p1(spark, folder)
+    return turns.layouts(turns.cue_parts(segments, speakers))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     claims, evidence = table(spark, folder, "reference_claims"), table(spark, folder, "evidence")
     return nearest.nearest_in_time(claims, evidence, "source_id", "claim_id", "timestamp_ms", "evidence_id", "start_ms", "tolerance_ms").select("claim_id", "evidence_id")
@@ -68,7 +74,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 
 SQL: dict[str, str] = {
     "p2_found": """
