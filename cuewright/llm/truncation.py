@@ -24,8 +24,9 @@ HEAD = 32
 TRAILER = 500
 #: Keys that one task counts before it passes its counts on.
 HELD = 300_000
-#: A field limit: so many texts of a source without their end have about this length, and this share of those of nearby lengths.
-LIMIT_TEXTS, LIMIT_SHARE, LIMIT_NEAR, LIMIT_AROUND = 4, 0.6, 6, 60
+#: A field limit: so many texts of a source without their end have this length, and this share of those of lengths around it;
+#: with those of lengths near by (a cut may go back to a word's end) this share.
+LIMIT_TEXTS, LIMIT_EACH, LIMIT_SHARE, LIMIT_NEAR, LIMIT_AROUND = 4, 0.1, 0.6, 6, 60
 
 _CJK = "぀-ヿ㐀-䶿一-鿿々ー"
 _TOKEN = re.compile(rf"[{_CJK}]+|[^\W_{_CJK}]+")
@@ -209,7 +210,9 @@ def judged(documents: DataFrame) -> DataFrame:
     spread = first.where("reason IS NOT NULL AND source IS NOT NULL").groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source", "unit").orderBy("length")
     near, around = F.sum("n").over(by.rangeBetween(-LIMIT_NEAR, LIMIT_NEAR)), F.sum("n").over(by.rangeBetween(-LIMIT_AROUND, LIMIT_AROUND))
-    limits = spread.withColumn("near", near).withColumn("around", around).where((F.col("near") >= LIMIT_TEXTS) & (F.col("near") >= LIMIT_SHARE * F.col("around"))).select("source", "unit", "length", F.lit(True).alias("at_limit"))
+    enough = (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_EACH * F.col("around")) & (F.col("near") >= LIMIT_SHARE * F.col("around"))
+    units = spread.groupBy("source", "unit").agg(F.max("n").alias("top")).groupBy("source").agg(F.max_by("unit", F.struct("top", "unit")).alias("unit"))  # the one in which lengths agree best
+    limits = spread.withColumn("near", near).withColumn("around", around).where(enough).join(units, ["source", "unit"], "left_semi").select("source", "unit", "length", F.lit(True).alias("at_limit"))
     final = first.join(limits, ["source", "unit", "length"], "left")
     each = final.groupBy("doc_id", "source", "state", "reason").agg(F.max("at_limit").alias("at_limit"), F.count("*").alias("n"))
     why = F.coalesce("reason", F.when(F.col("at_limit") & F.col("state").isin("open", "dots"), "limit"))
