@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cuewright.functions.text import quarter
-from cuewright.operators.ordered import cell, join_one, running
+from cuewright.operators.ordered import join_one
 
 #: Similarity from which a point states a claim, and from which its evidence is the claim's.
 STATES, SUPPORTS = 0.55, 0.45
-#: Times in which a claim's points are looked for.
-WITHIN_MS = 120_000
+#: Claims and points that are compared at once.
+TILE = (64, 2048)
+#: Longest claims, in characters, for which common subsequences are counted before texts are compared.
+BOUNDED = 1024
 
 
 def similarity(a: object, b: object) -> float:
@@ -25,61 +28,135 @@ def similarity(a: object, b: object) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def _at_least(a: str, b: str, least: float) -> float:
-    """The similarity, or 0 where cheaper bounds show that it is below ``least``."""
-    a, b = " ".join(a.casefold().split()), " ".join(b.casefold().split())
-    if not a or not b:
-        return 0.0
-    m = SequenceMatcher(None, a, b)
-    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+def _long_enough(m: int, lengths: np.ndarray, least: float) -> tuple[int, int]:
+    """The stretch of descending ``lengths`` in which a text of ``m`` characters can reach ``least`` at all."""
+    ok = np.flatnonzero(2.0 * np.minimum(m, lengths) / (m + lengths) >= least)
+    return (int(ok[0]), int(ok[-1]) + 1) if len(ok) else (0, 0)
+
+
+def _common(text: np.ndarray, columns: list[np.ndarray], lo: int, hi: int, letters: int) -> np.ndarray:
+    """Lengths of the longest common subsequences of a text and the texts ``lo`` to ``hi``, whose j-th letters are ``columns[j]``.
+
+    The bits of a row of words stand for the text's letters (Hyyrö's recurrence), for all other texts at once.
+    """
+    words = -(-len(text) // 64)
+    at = np.arange(len(text))
+    has = np.zeros((words, letters), np.uint64)
+    np.bitwise_or.at(has, (at // 64, text), np.uint64(1) << (at % 64).astype(np.uint64))
+    v = np.full((words, hi - lo), ~np.uint64(0))
+    for column in columns:
+        here = column[lo:hi]
+        if not len(here):
+            break
+        carry = None
+        for w in range(words):
+            mask, old = has[w][here], v[w, : len(here)]
+            met = old & mask
+            new = old + met
+            over = new < met
+            if carry is not None:
+                new += carry
+                over |= new < carry
+            carry = over.astype(np.uint64)
+            v[w, : len(here)] = new | (old & ~mask)
+    return 64 * words - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+
+def similar(texts: list[str | None], others: list[str | None], least: float) -> Iterator[tuple[int, int, float]]:
+    """Positions and :func:`similarity` of all pairs of another text and a text that reach ``least``.
+
+    What is skipped can't reach it: matching stretches are a common subsequence, so the ratio is at most that of the
+    longest one, and that is at most the ratio of the shorter text.
+    """
+    clean = lambda t: " ".join(t.casefold().split()) if isinstance(t, str) else ""
+    texts, others = [clean(t) for t in texts], [clean(t) for t in others]
+    order = sorted((k for k, t in enumerate(others) if t), key=lambda k: -len(others[k]))
+    lengths = np.array([len(others[k]) for k in order], np.int64)
+    code: dict[str, int] = {}
+    coded = lambda t: np.array([code.setdefault(c, len(code)) for c in t], np.int64)
+    letters = np.concatenate([coded(others[k]) for k in order]) if order else np.empty(0, np.int64)
+    mine = [coded(t) for t in texts]
+    starts = np.cumsum(lengths) - lengths
+    # only as many letters as the texts for which the bound is taken can need
+    reach = min(lengths.max(initial=0), int(BOUNDED * (2 / least)))
+    columns = [letters[starts[: int(np.count_nonzero(lengths > j))] + j] for j in range(reach)]
+    for i, text in enumerate(texts):
+        lo, hi = _long_enough(len(text), lengths, least) if text else (0, 0)
+        if lo == hi:
+            continue
+        left = range(lo, hi)
+        if len(text) <= BOUNDED:
+            left = lo + np.flatnonzero(2.0 * _common(mine[i], columns, lo, hi, len(code)) / (len(text) + lengths[lo:hi]) >= least)
+        m = SequenceMatcher(None, "", text)
+        for k in left:
+            m.set_seq1(others[order[k]])
+            if (len(text) <= BOUNDED or m.quick_ratio() >= least) and (score := m.ratio()) >= least:
+                yield i, order[k], score
 
 
 PAIRS = "source_id string, claim_id bigint, point_id bigint, score double, evidence_score double, distance_ms bigint, tolerance_ms bigint, timestamp_ms bigint"
+_NAMES = [c.split()[0] for c in PAIRS.split(", ")]
+_ARROW = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[k]) for n, k in (c.split() for c in PAIRS.split(", "))])
 
 
 def candidate_pairs(claims: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of a claim and a point of one source within :data:`WITHIN_MS` whose texts are similar enough.
+    """All pairs of a claim and a point of one source whose texts are similar enough.
 
     ``claims``: ``source_id, claim_id, text, evidence, timestamp_ms, tolerance_ms``; ``points``: ``source_id, point_id,
-    text, timestamp_ms``. Only points near in time are compared, by (source, time cell): a recording of any length has
-    a bounded number of them for each claim.
+    text, timestamp_ms``. Every claim meets every point of its source, in tiles of about :data:`TILE` claims and points,
+    so a long recording's pairs go to as many tasks as there are. Time decides nothing here.
     """
-    left = claims.withColumn("_cell", F.explode(F.sequence(cell(F.col("timestamp_ms") - WITHIN_MS, WITHIN_MS), cell(F.col("timestamp_ms") + WITHIN_MS, WITHIN_MS))))
-    right = points.select("source_id", "point_id", F.col("text").alias("_text"), F.col("timestamp_ms").alias("_at")).withColumn("_cell", cell(F.col("_at"), WITHIN_MS))
-    met = left.join(right, ["source_id", "_cell"]).withColumn("distance_ms", F.abs(F.col("timestamp_ms") - F.col("_at"))).where(F.col("distance_ms") <= WITHIN_MS)
+    n, m = (df.groupBy("source_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in ((claims, TILE[0], "_n"), (points, TILE[1], "_m")))
+    sizes = n.join(m, "source_id")
+
+    def blocks(df: DataFrame, by: str, mine: str, other: str, columns: list[str], name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(by), F.col(mine)).cast("int")
+        own = join_one(df, sizes, "source_id", by, "inner").groupBy("source_id", other, part.alias(mine)).agg(F.collect_list(F.struct(*columns)).alias(name))
+        return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    left = blocks(claims, "claim_id", "_n", "_m", ["claim_id", "text", "evidence", "timestamp_ms", "tolerance_ms"], "_claims")
+    right = blocks(points, "point_id", "_m", "_n", ["point_id", "text", "timestamp_ms"], "_points")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["score"] = [_at_least(x, y, STATES) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(b["text"].tolist(), b["_text"].tolist())]
-            b = b[b["score"] >= STATES]
-            yield b.assign(evidence_score=[similarity(x, y) for x, y in zip(b["evidence"].tolist(), b["_text"].tolist())])[[c.split()[0] for c in PAIRS.split(", ")]]
+            for source, tile_claims, tile_points in zip(*(b.column(c) for c in ("source_id", "_claims", "_points"))):
+                mine, found = tile_claims.as_py(), tile_points.as_py()
+                rows = []
+                for i, k, score in similar([c["text"] for c in mine], [p["text"] for p in found], STATES):
+                    c, p = mine[i], found[k]
+                    rows.append((source.as_py(), c["claim_id"], p["point_id"], score, similarity(p["text"], c["evidence"]), abs(c["timestamp_ms"] - p["timestamp_ms"]), c["tolerance_ms"], c["timestamp_ms"]))
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], _ARROW)
 
-    return met.select("source_id", "claim_id", "point_id", "text", "_text", "evidence", "distance_ms", "tolerance_ms", "timestamp_ms").mapInPandas(score, PAIRS)
+    return left.hint("merge").join(right, ["source_id", "_n", "_m"]).select("source_id", "_claims", "_points").mapInArrow(score, PAIRS)
 
 
 def matched(pairs: DataFrame) -> DataFrame:
     """One point at most for a claim and the reverse, claims choosing in order of their id the best point still free.
 
-    A pair ties up the time between its claim and its point. Stretches of a source that no pair ties together don't
-    influence each other, so each is a group of its own, and a long recording has many. The result has the columns of
-    the pairs.
+    Equal scores go to the lesser point. A choice may depend on any earlier one of its source, so a source's pairs are
+    read by one task in that order; it keeps nothing but the points that are taken. The result has the columns of the
+    pairs.
     """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, mine in group.sort_values(["claim_id", "score", "point_id"], ascending=[True, False, True]).groupby("claim_id", sort=False):
-            for row in mine.itertuples():
-                if row.point_id not in taken:
-                    taken.add(row.point_id)
-                    rows.append(row.Index)
-                    break
-        return group.loc[rows, [c.split()[0] for c in PAIRS.split(", ")]]
-
-    ties = pairs.withColumn("_lo", F.col("timestamp_ms") - F.col("distance_ms")).withColumn("_hi", F.col("timestamp_ms") + F.col("distance_ms")).withColumn("_cell", cell(F.col("_lo")))
-    order = ["_lo", "_hi", "claim_id", "point_id"]
-    reach = running(ties, ["source_id"], order, {"_reach": ("max", "_hi")}).withColumn("_new", F.when(F.col("_lo") <= F.col("_reach"), 0).otherwise(1))
-    groups = running(reach, ["source_id"], order, {"_before": ("sum", "_new")}).withColumn("_group", F.col("_before") + F.col("_new"))
-    return groups.groupBy("source_id", "_group").applyInPandas(choose, PAIRS)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = claim = None
+        taken, served = set(), False
+        for b in batches:
+            keep = []
+            for i, (s, c, p) in enumerate(zip(*(b.column(x).to_pylist() for x in ("source_id", "claim_id", "point_id")))):
+                if s != source:
+                    source, claim, taken, served = s, c, set(), False
+                elif c != claim:
+                    claim, served = c, False
+                if not served and p not in taken:
+                    taken.add(p)
+                    served = True
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    ordered = pairs.select(*_NAMES).repartition("source_id").sortWithinPartitions("source_id", "claim_id", F.col("score").desc(), "point_id")
+    return ordered.mapInArrow(choose, PAIRS)
 
 
 def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFrame:

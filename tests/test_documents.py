@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from cuewright.operators import documents as docs, scoring, synthesis
@@ -63,6 +65,28 @@ def test_scores(spark):
     assert scoring.similarity("A  b", "a b") == 1.0 and scoring.similarity("", "a") == 0.0 and scoring.similarity(None, "a") == 0.0
 
 
+def test_scores_compare_a_whole_source(spark, monkeypatch):
+    """As all pairs of a source compared one by one, claims choosing in order, however far apart in time."""
+    monkeypatch.setattr(scoring, "TILE", (7, 11))
+    r = random.Random(5)
+    words = "the looms weave cloth near old mills while barges carry grain 베틀이 천을 짭니다".split()
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 9)))
+    said = [text() for _ in range(60)]
+    claims = [("st"[k % 2], k, r.choice(said), text(), k * 90_000, 30_000) for k in range(40)] + [("s", 40, "", "e", 0, 1), ("s", 41, None, None, 0, 1), ("s", 42, "a" * 1500, "", 0, 1)]
+    points = [("st"[k % 2], 100 + k, t, r.randrange(9_000_000)) for k, t in enumerate(said)] + [("s", 200, None, 0), ("s", 201, "a" * 1400 + "b" * 90, 7_000_000)]
+    want = []
+    for source in "st":
+        free = [p for p in points if p[0] == source]
+        for c in (c for c in claims if c[0] == source):
+            best = max(free, key=lambda p: scoring.similarity(p[2], c[2]))
+            if scoring.similarity(best[2], c[2]) >= scoring.STATES:
+                free.remove(best)
+                want.append((c[1], best[1], scoring.similarity(best[2], c[2]), abs(c[4] - best[3])))
+    made = scoring.matched(scoring.candidate_pairs(spark.createDataFrame(claims, "source_id string, claim_id bigint, text string, evidence string, timestamp_ms bigint, tolerance_ms bigint"), spark.createDataFrame(points, "source_id string, point_id bigint, text string, timestamp_ms bigint")))
+    assert sorted((x.claim_id, x.point_id, x.score, x.distance_ms) for x in made.collect()) == sorted(want)
+    assert len(want) > 20 and max(w[3] for w in want) > 1_000_000
+
+
 def test_three_passes(spark):
     def stop(text, complaint):
         raise ValueError("no") if "bad" in text else None
