@@ -103,7 +103,8 @@ def candidate_pairs(claims: DataFrame, points: DataFrame) -> DataFrame:
     """All pairs of a claim and a point of one source whose texts are similar enough.
 
     ``claims``: ``source_id, claim_id, text, evidence, timestamp_ms, tolerance_ms``; ``points``: ``source_id, point_id,
-    text, timestamp_ms``. Every claim meets every point of its source, in tiles of about :data:`TILE` claims and points,
+    text, timestamp_ms`` and, where points have it, ``evidence``; a point without the column is its own evidence. Without
+    a time there is no distance, which fails the test of times and nothing else. Every claim meets every point of its source, in tiles of about :data:`TILE` claims and points,
     so a long recording's pairs go to as many tasks as there are. Time decides nothing here.
     """
     n, m = (df.groupBy("source_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name)) for df, size, name in ((claims, TILE[0], "_n"), (points, TILE[1], "_m")))
@@ -115,7 +116,8 @@ def candidate_pairs(claims: DataFrame, points: DataFrame) -> DataFrame:
         return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
     left = blocks(claims, "claim_id", "_n", "_m", ["claim_id", "text", "evidence", "timestamp_ms", "tolerance_ms"], "_claims")
-    right = blocks(points, "point_id", "_m", "_n", ["point_id", "text", "timestamp_ms"], "_points")
+    beside = points if "evidence" in points.columns else points.withColumn("evidence", F.col("text"))
+    right = blocks(beside, "point_id", "_m", "_n", ["point_id", "text", "timestamp_ms", "evidence"], "_points")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +126,8 @@ def candidate_pairs(claims: DataFrame, points: DataFrame) -> DataFrame:
                 rows = []
                 for i, k, score in similar([c["text"] for c in mine], [p["text"] for p in found], STATES):
                     c, p = mine[i], found[k]
-                    rows.append((source.as_py(), c["claim_id"], p["point_id"], score, similarity(p["text"], c["evidence"]), abs(c["timestamp_ms"] - p["timestamp_ms"]), c["tolerance_ms"], c["timestamp_ms"]))
+                    apart = None if c["timestamp_ms"] is None or p["timestamp_ms"] is None else abs(c["timestamp_ms"] - p["timestamp_ms"])
+                    rows.append((source.as_py(), c["claim_id"], p["point_id"], score, similarity(p["evidence"], c["evidence"]), apart, c["tolerance_ms"], c["timestamp_ms"]))
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], _ARROW)
 
@@ -167,7 +170,7 @@ def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFra
         F.count("*").alias("matched"),
         F.count_if(F.col("evidence_score") >= SUPPORTS).alias("e"),
         F.count_if(F.col("distance_ms") <= F.col("tolerance_ms")).alias("t"),
-        F.count_distinct(quarter(F.col("timestamp_ms"), F.coalesce("duration_ms", F.lit(1)))).alias("q"),
+        F.count_distinct(F.when(F.col("timestamp_ms").isNotNull(), quarter(F.col("timestamp_ms"), F.coalesce("duration_ms", F.lit(1))))).alias("q"),
     )
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("claims")
     return n.join(found, "source_id", "left").select("source_id", "claims", F.coalesce("matched", F.lit(0)).alias("matched"), share("matched").alias("recall"), share("e").alias("evidence_coverage"), share("t").alias("timestamp_accuracy"), (F.coalesce("q", F.lit(0)) / 4).alias("quarters"))

@@ -189,9 +189,9 @@ def retention_private(spark: SparkSession, folder: str) -> DataFrame:
 
 def claim_scores(spark: SparkSession, folder: str) -> DataFrame:
     """How well the evidence states the reference claims of its source."""
-    claims = table(spark, folder, "reference_claims").where("source_id IS NOT NULL AND timestamp_ms IS NOT NULL").withColumn("tolerance_ms", F.coalesce("tolerance_ms", F.lit(30_000)))
+    claims = table(spark, folder, "reference_claims").where("source_id IS NOT NULL").withColumn("tolerance_ms", F.coalesce("tolerance_ms", F.lit(30_000)))
     claims = claims.dropDuplicates(["claim_id"])
-    points = _claims(spark, folder).where("source_id IS NOT NULL AND start_ms IS NOT NULL").select("source_id", F.col("evidence_id").alias("point_id"), "text", F.col("start_ms").alias("timestamp_ms"))
+    points = _claims(spark, folder).where("source_id IS NOT NULL").select("source_id", F.col("evidence_id").alias("point_id"), "text", F.col("start_ms").alias("timestamp_ms"))
     matches = stage(scoring.matched(scoring.candidate_pairs(claims, points)), "matches")
     return scoring.scores(claims, matches, valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms"]))
 

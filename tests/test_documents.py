@@ -1,8 +1,10 @@
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from cuewright.operators import documents as docs, scoring, synthesis
+from cuewright.plans import document_queries
 
 EVIDENCE = "evidence_id bigint, source_id string, topic_id string, claim_no int, text string, start_ms bigint, end_ms bigint, provenance string"
 
@@ -87,6 +89,22 @@ def test_scores_compare_a_whole_source(spark, monkeypatch):
     assert len(want) > 20 and max(w[3] for w in want) > 1_000_000
 
 
+def test_scores_without_times(spark, tmp_path):
+    """Claims and points without a time count and match; a point's own evidence is compared where there is one."""
+    claim, point = "source_id string, claim_id bigint, text string, evidence string, timestamp_ms bigint, tolerance_ms bigint", "source_id string, point_id bigint, text string, timestamp_ms bigint, evidence string"
+    claims = spark.createDataFrame([("s", 1, "the looms weave cloth", "they weave", None, 30_000), ("s", 2, "mills grind grain", "they grind", 5, 30_000), ("s", 3, "barges", "b", None, 9)], claim)
+    points = spark.createDataFrame([("s", 10, "the looms weave cloth", 0, "they weave"), ("s", 11, "mills grind grain", None, "zzz")], point)
+    lengths = spark.createDataFrame([("s", 100)], "source_id string, duration_ms bigint")
+    r = scoring.scores(claims, scoring.matched(scoring.candidate_pairs(claims, points)), lengths).first()
+    assert (r.claims, r.matched, round(3 * r.evidence_coverage), r.timestamp_accuracy, r.quarters) == (3, 2, 1, 0.0, 0.25)
+    evidence = [(11, "s", "c-topic-001", 1, "mills grind grain", None, None, "source")]
+    spark.createDataFrame(evidence, EVIDENCE).write.parquet(f"{tmp_path}/evidence.parquet")
+    claims.write.parquet(f"{tmp_path}/reference_claims.parquet")
+    spark.createDataFrame([("s", 100, datetime(2025, 1, 1))], "source_id string, duration_ms bigint, ingested_at timestamp").write.parquet(f"{tmp_path}/transcripts.parquet")
+    r = document_queries.claim_scores(spark, str(tmp_path)).first()
+    assert (r.claims, r.matched) == (3, 1)
+
+
 def test_three_passes(spark):
     def stop(text, complaint):
         raise ValueError("no") if "bad" in text else None
