@@ -52,6 +52,11 @@ def test_generation_repairs_once(spark):
     assert synthesis.extractive("The looms weave. They weave looms daily.")["concepts"][:2] == ["looms", "weave"]
 
 
+def test_first_sentence_is_whole():
+    words = " ".join(f"loom{k}" for k in range(200))
+    assert synthesis.extractive(f"{words}. Next.")["summary"] == words + "." and synthesis.extractive(words)["summary"] == words
+
+
 def test_overview_repair(spark):
     df = spark.createDataFrame([('```json\n{"overview":"","summary":"S"}\n```',), ('{"text":"T"}',), ("nonsense",)], "a string")
     assert [r[0] for r in df.select(synthesis.repaired_overview(F.col("a"))).collect()] == ["S", "T", None]
