@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuewright.llm.turns import _LABEL, _SOUND, _TAGS, _TIMES, _VOICE, HESITATION
+from cuewright.llm.turns import _SOUND, PLAIN_HESITATION
 from cuewright.operators.ordered import join_one
 from cuewright.sources.tables import counted_cues, valid_transcripts
 from cuewright.staging import stage
@@ -36,9 +36,19 @@ SURE, LEAST_WORDS = 0.99, 3
 #: The same for cues in the signs of one language, which a model of the script can't confuse: confidence and signs.
 SURE_SIGNS, LEAST_SIGNS = 0.6, 4
 
+# what is no speech: times, tags, voices, and whatever looks like the name of a speaker
+_TIME = r"\d{1,6}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
+_TIMES = re.compile(rf"[<\[(]\s*{_TIME}\s*[>\])]|^\s*{_TIME}(?:\s*-->(?:\s*{_TIME})?)?(?=\s|$)")
+_TAGS = re.compile(r"</?[a-zA-Z](?:[.\w-]*)?(?:\s[^<>]*)?>")
+_NAME = r"[^\W\d_][\w'’.\-]{0,40}"
+_LABEL = re.compile(
+    rf"(?:(?:^|\n|(?<=[.!?。！？…♪*)\]\"”»:：]))\s*(?:>>|[-–—])?|>>|\n\s*[-–—])\s*(?:(?:(?i:speaker)[ _]*\d{{1,9}})|{_NAME}(?:[\s,]+{_NAME}){{0,2}})\s?[:：](?=\s|$)"
+    rf"|(?<=\s)(?:[^\W\d_a-z]{_NAME}\s+[^\W\d_a-z]{_NAME})\s?[:：](?=\s|$)"
+)
 _WORD = re.compile(r"[一-鿿々]+[ぁ-ゖ]*|[ァ-ヺー]+|[ぁ-ゖ]+|[가-힣]+|[^\W\d_]+")
 _SIGN = re.compile(r"[ぁ-ヺ一-鿿々가-힣]")
-_HINT = re.compile(r"^\W*[^\W\d_]{2,12}(?: \d{1,2})?\s?[:：]\s")
+#: Signs after which a word goes on as another, in any text, so that no word's n-grams grow with it.
+LONGEST = 32
 
 
 def named_language(label: Column) -> Column:
@@ -57,12 +67,11 @@ def spoken_words(text: str | None) -> list[str]:
     if "<" in text or ":" in text or "[" in text or "(" in text or "*" in text or "♪" in text or "：" in text:
         text = _TIMES.sub(" ", text)
         if "<" in text:
-            text = _TAGS.sub(" ", _VOICE.sub(" ", text))
+            text = _TAGS.sub(" ", text)
         text = _SOUND.sub(" ", text)
         if ":" in text or "：" in text:
             text = _LABEL.sub(" ", text)
-    words = [w for w in _WORD.findall(text.lower()) if not HESITATION.fullmatch(w)]
-    return words if max(map(len, words), default=0) <= 64 else [w[i : i + 32] for w in words for i in range(0, len(w), 32)]
+    return [w[i : i + LONGEST] for w in _WORD.findall(text.lower()) if not PLAIN_HESITATION.fullmatch(w) for i in range(0, len(w), LONGEST)]
 
 
 def grams(word: str) -> list[str]:
@@ -80,6 +89,19 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+#: A number of texts, and how many of them hold each n-gram.
+Frequency = tuple[int, dict[str, int]]
+
+
+def _seen(texts: list[list[str]]) -> Counter:
+    return Counter(g for words in texts for g in {g for w in words for g in grams(w)})
+
+
+def features_of(texts: list[list[str]]) -> list[str]:
+    """The n-grams that enough of the texts hold."""
+    return sorted(g for g, n in _seen(texts).items() if n >= LEAST_TEXTS)
+
+
 class Model:
     """Multinomial logistic regression, fitted by follow-the-regularised-leader with elastic-net penalties."""
 
@@ -100,11 +122,12 @@ class Model:
         index, count = np.unique(np.array([k for g in all_ if (k := self.vocabulary.get(g)) is not None], np.int64), return_counts=True)
         return np.append(index, len(self.vocabulary)), np.append(SCALE * count / max(1, len(all_)) * self.idf[index], 1.0)
 
-    def fit(self, texts: list[list[str]], labels: list[int], epochs: int = 3, seed: int = 7) -> Model:
-        seen = Counter(g for words in texts for g in {g for w in words for g in grams(w)})
-        kept = sorted(g for g, n in seen.items() if n >= LEAST_TEXTS)
+    def fit(self, texts: list[list[str]], labels: list[int], epochs: int = 3, seed: int = 7, frequency: Frequency | None = None) -> Model:
+        """``frequency`` has the number of texts and those that hold each n-gram, of all there are; else the given ones count."""
+        kept = features_of(texts)
         self.vocabulary = {g: k for k, g in enumerate(kept)}
-        self.idf = np.array([math.log((1 + len(texts)) / (1 + seen[g])) + 1 for g in kept])
+        total, seen = frequency or (len(texts), _seen(texts))
+        self.idf = np.array([math.log((1 + total) / (1 + seen.get(g, 0))) + 1 for g in kept])
         self.z, self.n = np.zeros((len(kept) + 1, self.classes)), np.zeros((len(kept) + 1, self.classes))
         rows = [self.features(w) for w in texts]
         rng = np.random.default_rng(seed)
@@ -142,7 +165,7 @@ class Model:
         return {g: i for i, (g, _) in enumerate(used)}, (w[rows] * self.idf[rows, None] * SCALE).astype(np.float32), w[-1], self.temperature
 
 
-def fit_model(texts: list[list[str]], labels: list[int], groups: list[str]) -> Model:
+def fit_model(texts: list[list[str]], labels: list[int], groups: list[str], frequency: Frequency | None = None) -> Model:
     """Fit on labelled texts, some of which are wrong.
 
     Two models, each fitted on half of the groups (recordings), vote on the other half, so that none judges what it has
@@ -154,7 +177,7 @@ def fit_model(texts: list[list[str]], labels: list[int], groups: list[str]) -> M
     for part in (0, 1):
         other, mine = np.nonzero(group % 2 != part)[0], np.nonzero(group % 2 == part)[0]
         if len(other) and len(mine):
-            half = Model(len(LANGUAGES)).fit([texts[i] for i in other], y[other].tolist(), epochs=2)
+            half = Model(len(LANGUAGES)).fit([texts[i] for i in other], y[other].tolist(), epochs=2, frequency=frequency)
             p[mine] = _softmax(half.scores([texts[i] for i in mine]))
         else:
             p[mine, y[mine]] = 1
@@ -163,7 +186,7 @@ def fit_model(texts: list[list[str]], labels: list[int], groups: list[str]) -> M
     keep = np.nonzero((votes.argmax(axis=1)[group] == y) & (p.argmax(axis=1) == y))[0]
     held = keep[np.arange(len(keep)) % 5 == 0] if len(keep) > 50 else keep
     used = np.setdiff1d(keep, held) if len(keep) > 50 else keep
-    model = Model(len(LANGUAGES)).fit([texts[i] for i in used], [labels[i] for i in used])
+    model = Model(len(LANGUAGES)).fit([texts[i] for i in used], [labels[i] for i in used], frequency=frequency)
     return model.calibrate(model.scores([texts[i] for i in held]), y[held])
 
 
@@ -176,6 +199,39 @@ def sample(segments: DataFrame, labelled: DataFrame) -> list[tuple[str, str, str
     return [(r.named, r.text, r.source_id) for r in cues.select("named", "text", "source_id", "seg_idx").orderBy("named", "source_id", "seg_idx", "text").collect()]
 
 
+def document_frequency(cues: DataFrame, features: list[str]) -> Frequency:
+    """In how many of all cues with words each n-gram is, and the number of these cues. Each task adds up its own first."""
+    known = cues.sparkSession.sparkContext.broadcast({g: k for k, g in enumerate(features)})  # n-grams of the sample
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = known.value
+        held, counts = np.zeros(len(place), bool), np.zeros(len(place), np.int64)
+        of_word: dict[str, np.ndarray] = {}
+        texts = 0
+        for b in batches:
+            if len(of_word) > 200_000:
+                of_word.clear()
+            for text in b["text"].tolist():
+                here = []
+                for w in spoken_words(text):
+                    at = of_word.get(w)
+                    if at is None:
+                        at = of_word[w] = np.array([k for g in grams(w) if (k := place.get(g)) is not None], np.int64)
+                    here.append(at)
+                if here:
+                    texts += 1
+                    at = np.concatenate(here)
+                    held[at] = True
+                    counts += held
+                    held[at] = False
+        some = np.nonzero(counts)[0]
+        yield pd.DataFrame({"gram": np.append(some, -1), "n": np.append(counts[some], texts)})
+
+    rows = cues.where("text IS NOT NULL").select("text").mapInPandas(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # a row an n-gram
+    found = {r.gram: r.n for r in rows}
+    return found.pop(-1, 0), {features[k]: n for k, n in found.items()}
+
+
 def _classify(model: tuple[dict[str, int], np.ndarray, np.ndarray, float], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     vocabulary, weights, bias, temperature = model
     rows: dict[str, int] = {}
@@ -217,9 +273,13 @@ def cue_languages(segments: DataFrame, transcripts: DataFrame) -> tuple[DataFram
     labels = stage(valid_transcripts(transcripts, ["language"]).select("source_id", F.col("language").alias("label"), named_language(F.col("language")).alias("named")), "labels")
     chosen = sample(segments, labels)
     rows = [(w, LANGUAGES.index(lang), source) for lang, text, source in chosen if (w := spoken_words(text))]
-    model = (fit_model(*map(list, zip(*rows))) if rows else Model(len(LANGUAGES))).compact()
-    known = segments.sparkSession.sparkContext.broadcast(model)  # n-grams of the sample
+    if not rows:  # nothing to learn from: no language is told rather than guessed
+        none = segments.where("false").select("source_id", F.col("seg_idx").cast("int"), F.lit(0).alias("top"), F.lit(0.0).alias("confidence"), F.lit(0).alias("words"), F.lit(0).alias("signs"))
+        return none, labels
     cues = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("source_id", F.col("seg_idx").cast("int"), "text")
+    texts, named, groups = map(list, zip(*rows))
+    model = fit_model(texts, named, groups, document_frequency(cues, features_of(texts))).compact()
+    known = segments.sparkSession.sparkContext.broadcast(model)  # n-grams of the sample
     scored = cues.mapInPandas(lambda b: _classify(known.value, b), "source_id string, seg_idx int, top int, confidence double, words int, signs int")
     return stage(counted_cues(scored, labels, keep=("confidence", "top", "words", "signs")), "languages"), labels
 
@@ -228,6 +288,17 @@ def _code(number: str) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.col(number) + 1)
 
 
+def languages_of_cues(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The language of each cue with words: its own where the model is sure, else its recording's: ``source_id, seg_idx, language``."""
+    cues, _ = cue_languages(segments, transcripts)
+    with_main = join_one(cues, main_languages(cues).select("source_id", "main"), "source_id", "seg_idx", "inner")
+    return with_main.select("source_id", "seg_idx", F.when(_is_sure(), _code("top")).otherwise(_code("main")).alias("language"))
+
+
+def _is_sure() -> Column:
+    return ((F.col("confidence") >= SURE) & (F.col("words") >= LEAST_WORDS)) | ((F.col("confidence") >= SURE_SIGNS) & (F.col("signs") >= LEAST_SIGNS))
+
+
 def main_languages(cues: DataFrame) -> DataFrame:
     """Per source the language that most of its cues, by confidence and up to ten words each, are in: ``source_id, main, confidence``."""
     weight = F.col("confidence") * F.least("words", F.lit(10))
@@ -240,11 +311,10 @@ def spoken_languages(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
 
     Returns ``source_id, seg_idx, language, confidence, label_agrees``; the last is null for cues. A cue is in another
     language if the model is sure and the cue has several words. Null and empty texts, and sources without words, get no
-    row; a null or unknown label agrees with nothing. Repeated cues count once; extra columns are ignored.
+    row; a null or unknown label agrees with nothing. Where no source has a usable label there is nothing to learn from and no row. Repeated cues count once; extra columns are ignored.
     """
     cues, labels = cue_languages(segments, transcripts)
     main = stage(main_languages(cues), "main")
     whole = main.join(labels, "source_id").select("source_id", F.lit(-1).alias("seg_idx"), _code("main").alias("language"), "confidence", F.coalesce(F.col("named") == _code("main"), F.lit(False)).alias("label_agrees"))
-    sure = cues.where(((F.col("confidence") >= SURE) & (F.col("words") >= LEAST_WORDS)) | ((F.col("confidence") >= SURE_SIGNS) & (F.col("signs") >= LEAST_SIGNS)))
-    other = join_one(sure, main.select("source_id", "main"), "source_id", "seg_idx", "inner").where("top <> main")
+    other = join_one(cues.where(_is_sure()), main.select("source_id", "main"), "source_id", "seg_idx", "inner").where("top <> main")
     return whole.unionByName(other.select("source_id", "seg_idx", _code("top").alias("language"), "confidence", F.lit(None).cast("boolean").alias("label_agrees")))

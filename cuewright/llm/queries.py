@@ -19,13 +19,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.turn_texts(*_p1(spark, folder))
+    segments, speakers, transcripts = _p1(spark, folder)
+    return turns.turn_texts(segments, speakers, transcripts, language.languages_of_cues(segments, transcripts))
 
 
 def p1_layouts(spark: SparkSession, folder: str) -> DataFrame:
-    """The mined layouts and whether their slot holds speakers."""
+    """The mined layouts and what their last slot holds."""
     segments, speakers, _ = _p1(spark, folder)
-    return turns.layouts(turns.cue_parts(segments, speakers))
+    made = turns.layouts(segments, speakers)
+    return made.select(F.array_join("path", " ").alias("layout"), "n", "people", "times", "follows", "is_speaker", "is_time", F.array_join(F.transform("constants", lambda c: c["word"]), " ").alias("constants"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,62 +10,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cuewright.llm.layouts import COLUMN, MINED, MOST_LAYOUTS, RUN_WORD, Slots, Token, TokenTree, column_head, decided, heads, run_before
 from cuewright.operators.ordered import cell, neighbour
 from cuewright.sources.tables import counted_cues
 from cuewright.staging import stage
 
 #: People that the name index may hold on each worker; a directory beyond it is refused rather than cut.
 MOST_PEOPLE = 200_000
-#: Levels of the token tree under its root.
-DEPTH = 8
-#: Share of a layout's slot values that must be people for the slot to count as a speaker slot.
-LEAST_SHARE = 0.02
 
-# Hesitation sounds, as patterns because they are drawn out at will; and words around a name that are no part of it.
-HESITATION = re.compile(r"(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+|ä+h*m*|ö+h*m*|e+u+h+|h+e+u+|h+u+m+|e+h+m*|e+m+|a+h+|으*음+|어+|흠+|에+|えー*っ?と[ー〜]*|あの[ー〜]+|う[ー〜]*ん)", re.I)
+# Hesitation sounds, as patterns because they are drawn out at will; those that are words in a language; and words around a name that are no part of it.
+SOUNDS = "u+h*m+|u+h+|e+r+m*|h+m+|m+h*m+|ä+h*m*|ö+h*m*|e+u+h+|h+e+u+|h+u+m+|e+h+m*|e+m+|a+h+|으*음+|어+|흠+|에+|えー*っ?と[ー〜]*|あの[ー〜]+|う[ー〜]*ん"
+WORDS_IN = {"de": "er|um"}
+HESITATION = re.compile(f"(?:{SOUNDS})", re.I)
+#: Sounds that are a word in no language, for where the language isn't known yet.
+PLAIN_HESITATION = re.compile(f"(?!(?:{'|'.join(WORDS_IN.values())})\\Z)(?:{SOUNDS})", re.I)
 BESIDE_NAMES = {"dr", "mr", "mrs", "ms", "prof", "host", "guest", "moderator", "narrator", "herr", "frau", "sr", "sra", "mme", "st"}
 
-TIME = r"\d{1,6}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-_TIMES = re.compile(rf"[<\[(]\s*{TIME}\s*[>\])]|(?:^|(?<=[\x01\x02]))\s*{TIME}(?:\s*-->(?:\s*{TIME})?)?(?=\s|$)")
-_TAGS = re.compile(r"</?[a-zA-Z](?:[.\w-]*)?(?:\s[^<>]*)?>")
-_VOICE = re.compile(r"<\s*v(?:\.[\w.]+)?\s+([^<>]+)>")
-_WORD = r"[^\W\d_][\w'’.\-]{0,40}"
-# a label: <v Name>, [Name], (Name), or at a boundary an optional mark and up to three words or a numbered speaker before a colon
-_LABEL = re.compile(
-    rf"\x03(?P<v>[^\x03\x04]+)\x04|[\[(]\s*(?P<b>[^\[\]()]{{1,60}}?)\s*[\])]"
-    rf"|(?:(?:^|(?<=[\x01\x02\x04.!?。！？…♪*)\]\"”»:：]))\s*(?P<m>>>|[-–—])?|(?P<n>>>|\n\s*[-–—])|(?P<l>\n))\s*(?P<c>(?:(?i:speaker)[ _]*\d{{1,9}})|{_WORD}(?:[\s,]+{_WORD}){{0,2}})\s?[:：](?=\s|$)"
-    rf"|(?<=\s)(?P<d>[^\W\d_a-z]{_WORD}\s+[^\W\d_a-z]{_WORD})\s?[:：](?=\s|$)"  # two capitalized words, where sentences aren't marked
-)
-_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|[♪\x01\x02]|<[^<>]*>")
+_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|♪|<[^<>]*>")
 _PLAIN = re.compile(r"[^\W_]+(?:['’ー〜-]+[^\W_]*)*")
-_SPACES = re.compile(r"\s{2,}")
+_SPACES = re.compile(r"[^\S\n]{2,}|\s*\n\s*")
 _NUMBERED = re.compile(r"\s*speaker[ _]*(\d{1,9})\s*", re.I)
-
-
-class TokenTree:
-    """A tree of fixed depth over the token classes of a line's head; a leaf is a layout and its constant parts.
-
-    Words are slots (told apart by shape only), times and tags are slots of their own kind, marks are constants. Times
-    and names therefore lead to the same leaf whatever their value.
-    """
-
-    def __init__(self, depth: int = DEPTH) -> None:
-        self.depth, self.root, self.leaves = depth, {}, 0
-
-    def layout(self, tokens: list[str]) -> str:
-        at, path = self.root, tokens[: self.depth]
-        for token in path:
-            at = at.setdefault(token, {})
-        if "" not in at:
-            self.leaves += 1
-            at[""] = " ".join(path)
-        return at[""]
-
-
-def _shape(label: str) -> str:
-    words = label.replace("_", " ").split()
-    kinds = ["<n>" if w.isdigit() else "<i>" if len(w.rstrip(".,")) == 1 else "<N>" if w.isupper() else "<w>" if w.islower() else "<W>" for w in words[:3]]
-    return " ".join(kinds) + (" ," if "," in label else "") + (" _" if "_" in label else "")
+_OPENERS = re.compile(r"(?:[\[(<{|]|>>|(?:(?<=\s)|^)[-–—])\s*\Z")
 
 
 def _fold(text: str) -> str:
@@ -111,10 +76,19 @@ class People:
         self.words = list(self.exact)
         self.bags = np.array([_bag(w) for w in self.words], np.int16).reshape(-1, BAG)
         self.known: dict[str, int | None] = {}
+        self.near: dict[str, set[int]] = {}
 
     def word(self, w: str) -> set[int]:
+        """People with a part like the word. What was looked up is kept, up to a bound."""
         if w in self.exact:
             return self.exact[w]
+        if w not in self.near:
+            if len(self.near) > 200_000:
+                self.near.clear()
+            self.near[w] = self._word(w)
+        return self.near[w]
+
+    def _word(self, w: str) -> set[int]:
         most = 2 if len(w) >= 6 else 1 if len(w) >= 4 else 0
         if not most:
             return set()
@@ -150,101 +124,151 @@ class People:
 
 
 def has_words(text: str) -> bool:
-    """Whether words are left once times, hesitation sounds, sound descriptions and markup are removed."""
-    if not ("[" in text or "(" in text or "*" in text or "♪" in text or "<" in text or "\x01" in text or "\x02" in text):
-        rest = text
-    else:
-        rest = _SOUND.sub(" ", text)
+    """Whether words are left once hesitation sounds, sound descriptions and markup are removed."""
+    rest = _SOUND.sub(" ", text) if "[" in text or "(" in text or "*" in text or "♪" in text or "<" in text else text
     for m in _PLAIN.finditer(rest):
         if not HESITATION.fullmatch(m[0].strip("-ー〜") or m[0]) and not HESITATION.fullmatch(m[0]):
             return True
     return False
 
 
-def parts_of(text: str | None, speaker: str | None, find: Callable[[str], int | None], layout: Callable[[list[str]], str]) -> list[tuple[str, int | None, bool, str]]:
-    """A cue as parts (layout, person or None, whether it has words, text), cut at everything that looks like a label."""
-    head = ("column " + _shape(speaker), find(speaker)) if speaker and speaker.strip() else ("", None)
-    text = (text or "").replace("\xa0", " ")
-    if len(text) > 1000:
-        text = _SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", text)  # long runs would be searched again and again
-    if not ("<" in text or ":" in text or "：" in text or "[" in text or "(" in text):
-        return [(*head, has_words(text), text)]
-    if "<" in text:
-        text = _TAGS.sub("\x02", _VOICE.sub("\x03\\1\x04", _TIMES.sub("\x01", text)))
-    text = _TIMES.sub("\x01", text)
-    out, at, now = [], 0, head
-    for m in _LABEL.finditer(text):
-        kind = m.lastgroup if m["d"] or m["b"] or m["v"] else "c"
-        label = m[kind]
-        start = m.start() if kind in "vb" else m.start(kind)
-        chunk = text[at:start]
-        before = [{"\x01": "TIME", "\x02": "TAG"}[c] for c in chunk if c in "\x01\x02"] if not out and at == 0 else ["..."]
-        marks = {"v": ["<v>"], "b": [m[0][0] + m[0][-1]], "c": [m["m"] or m["n"] or m["l"] or "", ":"], "d": [":"]}[kind]
-        out.append((*now, has_words(chunk), chunk))
-        now = (layout([*before, *(x.strip() for x in marks if x.strip()), _shape(label)]), find(label))
-        at = m.end()
-    out.append((*now, has_words(text[at:]), text[at:]))
-    return out
+def _even(text: str | None) -> str:
+    """The text with blanks that are the same everywhere: a line break is one, other white space is one blank."""
+    return _SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", (text or "").replace("\xa0", " ")).lstrip()
 
 
-PARTS = "array<struct<layout:string,person:int,words:boolean,text:string>>"
+def _label(text: str, tokens: list[Token], i: int, k: int, constants: frozenset, find: Callable[[str], int | None]) -> int | None:
+    """The person that the run of tokens ``i`` to ``k`` names, as it stands or without the layout's constant words."""
+    person = find(text[tokens[i][2] : tokens[k][2]])
+    if person is None and constants:
+        person = find(" ".join(text[a:z] for _, key, a, z in tokens[i:k] if key not in constants))
+    return person
 
 
-def cue_parts(segments: DataFrame, speakers: DataFrame, with_text: bool = False) -> DataFrame:
-    """``source_id, seg_idx, start_ms, parts`` of each cue that has a label-like part (``with_text``: of all cues).
+Part = tuple[int | None, bool, str]
+
+
+def parts_of(text: str | None, speaker: str | None, find: Callable[[str], int | None], slots: Slots) -> list[Part]:
+    """A cue as parts (person or None, whether it has words, text), cut where a speaker slot of a layout names a person.
 
-    Rows without source, index or start are left out.
+    Times in time slots are taken out; a label in a speaker slot that names nobody stays in the text but is no word.
     """
+    person = None
+    if speaker and speaker.strip():
+        tokens = column_head(speaker)
+        for k, is_speaker, _, constants in slots.walk(COLUMN, tokens):
+            i = run_before(tokens, k)
+            if is_speaker and i < k and (person := _label(speaker, tokens, i, k, constants, find)) is not None:
+                break
+    text = _even(text)
+    out: list[Part] = []
+    skips: list[tuple[int, int, bool]] = []  # stretches that are no words, and whether they stay in the text
+    at = 0
+    for how, tokens in heads(text):
+        if tokens[-1][3] <= at:
+            continue
+        for k, is_speaker, is_time, constants in slots.walk(how, tokens):
+            _, _, a, z = tokens[k]
+            if a < at:
+                continue
+            if is_time:
+                skips.append((a, z, False))
+            elif is_speaker and (i := run_before(tokens, k)) < k and tokens[i][2] >= at:
+                who = _label(text, tokens, i, k, constants, find)
+                if who is not None:
+                    out.append(_part(person, text, at, tokens[i][2], skips))
+                    person, skips, at = who, [], z
+                    break
+                if not any(t[1] in ".," for t in tokens[i:k]):  # else what follows the dot is looked at by itself
+                    skips.append((tokens[i][2], z, True))
+    out.append(_part(person, text, at, len(text), skips))
+    return out
+
+
+def _part(person: int | None, text: str, start: int, end: int, skips: list[tuple[int, int, bool]]) -> Part:
+    counted, kept, at = [], [], start
+    for a, z, stays in sorted(skips):
+        if at <= a and z <= end:
+            counted.append(text[at:a])
+            kept += [text[at:a], text[a:z] if stays else " "]
+            at = z
+    counted.append(text[at:end])
+    kept.append(text[at:end])
+    return person, has_words(" ".join(counted)), _OPENERS.sub("", "".join(kept).strip())
+
+
+PARTS = "array<struct<person:int,words:boolean,text:string>>"
+
+
+def _cues(segments: DataFrame) -> DataFrame:
+    return segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND start_ms IS NOT NULL").select("source_id", F.col("seg_idx").cast("int"), F.col("start_ms").cast("bigint"), "text", "speaker")
+
+
+def _directory(speakers: DataFrame) -> list[tuple[int, str | None, str | None]]:
     rows = speakers.where("speaker_id IS NOT NULL").select("speaker_id", "given_name", "family_name").distinct().limit(MOST_PEOPLE + 1).collect()
     if len(rows) > MOST_PEOPLE:
         raise ValueError(f"more than {MOST_PEOPLE} people")
-    people = [tuple(r) for r in rows]
+    return [tuple(r) for r in rows]
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def layouts(segments: DataFrame, speakers: DataFrame) -> DataFrame:
+    """The layouts of the cues' line heads: ``path, n, people, times, follows, is_speaker, is_time, constants``.
+
+    Each task mines a token tree of fixed depth over the heads of its cues (:mod:`cuewright.llm.layouts`); equal
+    layouts of all tasks are then added up.
+    """
+    people = _directory(speakers)
+
+    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, tree = People(people), TokenTree()
-        find, layout = who.find, tree.layout
+        known = lambda label: who.find(label) is not None
         for b in batches:
-            keep, parts = [], []
-            for i, (text, speaker) in enumerate(zip(b["text"].tolist(), b["speaker"].tolist())):
-                found = parts_of(text, speaker, find, layout)
-                if with_text or len(found) > 1 or found[0][0]:
-                    keep.append(i)
-                    parts.append([{"layout": p[0], "person": p[1], "words": p[2], "text": p[3] if with_text else None} for p in found])
-            yield b[["source_id", "seg_idx", "start_ms"]].iloc[keep].assign(parts=parts)
-
-    cues = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND start_ms IS NOT NULL").select("source_id", F.col("seg_idx").cast("int"), F.col("start_ms").cast("bigint"), "text", "speaker")
-    return cues.mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
+            for text, speaker, start in zip(b["text"].tolist(), b["speaker"].tolist(), b["start_ms"].tolist()):
+                if speaker and speaker.strip():
+                    tree.insert(COLUMN, column_head(speaker), speaker, start / 1000, known)
+                if text:
+                    text = _even(text)
+                    for how, tokens in heads(text):
+                        tree.insert(how, tokens, text, start / 1000, known)
+        rows, words = tree.merged()
+        out = [(path, None, sums) for path, sums in rows] + [(path, word, [float(n), float(total)]) for path, word, n, total in words]
+        yield pd.DataFrame(out, columns=["path", "word", "sums"])
 
+    return decided(_cues(segments).mapInPandas(mine, MINED))
 
-def layouts(parts: DataFrame) -> DataFrame:
-    """Per layout the number of its values and how many of them name a person: ``layout, n, people, is_speaker``."""
-    each = parts.select(F.explode("parts").alias("p")).where("p.layout <> ''")
-    counted = each.groupBy("p.layout").agg(F.count("*").alias("n"), F.count("p.person").alias("people"))
-    return counted.withColumn("is_speaker", F.col("people") >= LEAST_SHARE * F.col("n"))
 
+def cue_parts(segments: DataFrame, speakers: DataFrame, with_text: bool = False) -> DataFrame:
+    """``source_id, seg_idx, start_ms, parts`` of each cue that names a person (``with_text``: of all cues).
 
-def _merged(column: str, wrong: list[str]) -> Column:
-    """Parts whose label names nobody, or stands in a layout that is no speaker slot, joined to the part before."""
-    person = lambda p: F.when(~p["layout"].isin(wrong), p["person"]) if wrong else p["person"]
-    empty = F.expr("CAST(array() AS array<struct<person:int,words:boolean,text:string>>)")
+    The layouts are mined first; parts are then cut by the slots of the layouts. Rows without source, index or start are
+    left out.
+    """
+    people = _directory(speakers)
+    used = stage(layouts(segments, speakers).where("is_speaker OR is_time"), "layouts")
+    rows = used.orderBy(F.col("n").desc(), "path").select("path", "is_speaker", "is_time", F.transform("constants", lambda c: c["word"])).limit(MOST_LAYOUTS + 1).collect()
+    slots = Slots([tuple(r) for r in rows[:MOST_LAYOUTS]], complete=len(rows) <= MOST_LAYOUTS)
 
-    def add(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & person(p).isNull()
-        glued = F.struct(last["person"].alias("person"), (last["words"] | p["words"]).alias("words"), F.concat_ws(" ", last["text"], p["text"]).alias("text"))
-        own = F.struct(person(p).alias("person"), p["words"].alias("words"), p["text"].alias("text"))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(glued))).otherwise(F.concat(done, F.array(own)))
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = People(people).find
+        for b in batches:
+            keep, parts = [], []
+            for i, (text, speaker) in enumerate(zip(b["text"].tolist(), b["speaker"].tolist())):
+                found = parts_of(text, speaker, find, slots)
+                if with_text or len(found) > 1 or found[0][0] is not None:
+                    keep.append(i)
+                    parts.append([{"person": p[0], "words": p[1], "text": p[2] if with_text else None} for p in found])
+            some = b[["source_id", "seg_idx", "start_ms"]].iloc[keep]
+            yield some.assign(parts=pd.Series(parts, index=some.index, dtype=object))
 
-    return F.aggregate(column, empty, add)
+    return _cues(segments).mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
 
 
 def spoken_parts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame, with_text: bool = False) -> DataFrame:
     """Parts with words, of cues of known sources, each cue once: ``source_id, start_ms, seg_idx, part, person, text``."""
     parts = stage(cue_parts(segments, speakers, with_text), "parts")
-    wrong = sorted(r[0] for r in layouts(parts).where("NOT is_speaker").select("layout").collect())  # shapes, not values: a few hundred
-    once = counted_cues(parts, transcripts, keep=("start_ms", "parts")).select("source_id", "seg_idx", F.struct("start_ms", "parts").alias("c"))
-    merged = once.select("source_id", "seg_idx", "c.start_ms", F.posexplode(_merged("c.parts", wrong)).alias("part", "p"))
-    return merged.where("p.words").select("source_id", "start_ms", "seg_idx", "part", "p.person", "p.text")
+    once = counted_cues(parts, transcripts, keep=("start_ms", "parts"))
+    each = once.select("source_id", "seg_idx", "start_ms", F.posexplode("parts").alias("part", "p"))
+    return each.where("p.words").select("source_id", "start_ms", "seg_idx", "part", "p.person", "p.text")
 
 
 def turn_starts(parts: DataFrame) -> DataFrame:
@@ -265,11 +289,14 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame, transcripts: DataFra
     return starts.select("source_id", F.col("seg_idx").alias("first_seg_idx"), F.col("person").alias("speaker_id"), "start_ms")
 
 
-def clean_words(text: Column) -> Column:
-    """The text without sound descriptions, times, markup and doubled spaces; hesitation sounds go in :func:`turn_texts`."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|[♪\x01\x02\x03\x04]|<[^<>]*>|>>", " ")
-    sounds = r"(?iU)(?<![\w])(?:[-–] )?(?:u+h*m+|u+h+|e+rm*|h+m+|ä+h+m*|ö+h+m*|e+u+h+|h+e+u+|e+h+m*|e+m+|으*음+|어+|흠+|えー*っ?と[ー〜]*|あの[ー〜]+|う[ー〜]*ん)(?![\w])(?:\.\.\.|,|、| [-–])?"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, sounds, " "), r"(?U)\s[-–—]+\s*\z", ""), r"(?U)\s+", " "))
+def clean_words(text: Column, language: Column) -> Column:
+    """The text without sound descriptions, markup, doubled spaces and hesitation sounds, but for sounds that are words in its language."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\[\]]*\]|\([^()]*\)|\*[^*]*\*|♪[^♪]*♪|♪|<[^<>]*>|>>|-->", " ")
+    sounds = lambda but: rf"(?iU)(?<![\w])(?:[-–] )?{but}(?:{SOUNDS})(?![\w])(?:\.\.\.|,|、| [-–])?"
+    heard = F.regexp_replace(plain, sounds(""), " ")
+    for lang, words in WORDS_IN.items():
+        heard = F.when(language == lang, F.regexp_replace(plain, sounds(f"(?!(?:{words})(?![\\w]))"), " ")).otherwise(heard)
+    return F.trim(F.regexp_replace(F.regexp_replace(heard, r"(?U)\s[-–—]+\s*\z", ""), r"(?U)\s+", " "))
 
 
 def _once(lines: str) -> Column:
@@ -278,14 +305,17 @@ def _once(lines: str) -> Column:
     return F.filter(words, lambda w, i: (i == 0) | (w != F.element_at(words, F.greatest(F.lit(1), i))))
 
 
-def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame) -> DataFrame:
+def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """Turns with clean words: ``source_id, turn_seg_idx, speaker_id, start_ms, part, cues, text``.
 
+    ``languages`` gives the language of cues (``source_id, seg_idx, language``), by which a sound is told from a word
+    that is spelled alike; cues it doesn't have are cleaned as if in no language with such words.
     Each part of a cue finds its turn by the last start before it, over time cells; the words of a turn are then joined
     in order. A turn that runs over full hours comes in as many rows, numbered by ``part``, so that a recording of one
     voice is no single row.
     """
     parts = stage(spoken_parts(segments, speakers, transcripts, with_text=True), "spoken")
+    said = languages if languages is not None else parts.where("false").select("source_id", "seg_idx", F.lit(None).cast("string").alias("language"))
     begins = turn_starts(parts).select("source_id", "start_ms", "seg_idx", "part", F.struct(F.col("seg_idx").alias("i"), F.col("part").alias("k"), F.col("start_ms").alias("t"), F.col("person").alias("p")).alias("turn"))
     marked = parts.join(begins, ["source_id", "start_ms", "seg_idx", "part"], "left").withColumn("_cell", cell(F.col("start_ms")))
     near = Window.partitionBy("source_id", "_cell").orderBy("start_ms", "seg_idx", "part")
@@ -293,6 +323,6 @@ def turn_texts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame)
     carried = marked.groupBy("source_id", "_cell").agg(F.max_by("turn", F.when(F.col("turn").isNotNull(), F.struct("start_ms", "seg_idx", "part"))).alias("_in"))
     carried = carried.withColumn("_in", F.last("_in", ignorenulls=True).over(along))
     inside = marked.withColumn("turn", F.last("turn", ignorenulls=True).over(near)).join(carried, ["source_id", "_cell"])
-    owned = inside.withColumn("turn", F.coalesce("turn", "_in")).where("turn IS NOT NULL")
-    lines = owned.groupBy("source_id", "turn", "_cell").agg(F.count_distinct("seg_idx").alias("cues"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", "part", clean_words(F.col("text")).alias("w")))).alias("l"))
+    owned = inside.withColumn("turn", F.coalesce("turn", "_in")).where("turn IS NOT NULL").join(said, ["source_id", "seg_idx"], "left")
+    lines = owned.groupBy("source_id", "turn", "_cell").agg(F.count_distinct("seg_idx").alias("cues"), F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", "part", clean_words(F.col("text"), F.col("language")).alias("w")))).alias("l"))
     return lines.select("source_id", F.col("turn.i").alias("turn_seg_idx"), F.col("turn.p").alias("speaker_id"), F.col("turn.t").alias("start_ms"), (F.col("_cell") - cell(F.col("turn.t"))).cast("int").alias("part"), "cues", F.array_join(_once("l"), " ").alias("text"))
