@@ -23,7 +23,8 @@ def test_labels(spark, label, want):
 
 
 def test_spoken_words():
-    assert spoken_words("[00:12] <i>Zoskin Skil: Um, the looms</i> (music) ♪ la ♪") == ["the", "looms"]
+    assert spoken_words("[00:12] <i>Zoskin Skil: Uhm, the looms</i> (music) ♪ la ♪") == ["the", "looms"]
+    assert spoken_words("Da ging er um halb los, hmm") == ["da", "ging", "er", "um", "halb", "los"]
     assert spoken_words(None) == [] and spoken_words("♪♪♪") == []
 
 
@@ -79,3 +80,15 @@ def test_empty(spark):
     transcripts = spark.createDataFrame([("a", "en")], "source_id string, language string").withColumn("ingested_at", F.lit(1))
     assert language.spoken_languages(segments, transcripts).count() == 0
     assert language.spoken_languages(segments, transcripts.where("false")).count() == 0
+
+
+def test_without_labels_no_language_is_guessed(spark):
+    segments = spark.createDataFrame([("a", 0, 1, 2, PHRASES["de"][0], None, 1)], CUE)
+    transcripts = spark.createDataFrame([("a", "und")], "source_id string, language string").withColumn("ingested_at", F.lit(1))
+    assert language.spoken_languages(segments, transcripts).count() == 0 and language.languages_of_cues(segments, transcripts).count() == 0
+
+
+def test_document_frequencies_count_all_cues(spark):
+    cues = spark.createDataFrame([("a", i, 1, 2, t, None, 1) for i, t in enumerate(["la lo", "la", "", None, "♪"])], CUE).repartition(3)
+    total, seen = language.document_frequency(cues, ["_l", "la", "lo_", "zz"])
+    assert total == 2 and seen == {"_l": 2, "la": 2, "lo_": 1}
