@@ -73,14 +73,41 @@ def test_planted_cuts(spark):
     assert share["dots"] == (40, 40) and share[None] == (1, 1)
 
 
-def test_longer_copies_by_sorting(spark):
+def test_longer_copies(spark):
     rnd = random.Random(9)
-    whole = [" ".join(sentence(rnd) for _ in range(5)) for _ in range(60)]
-    docs = [(i, "s", w) for i, w in enumerate(whole)] + [(100 + i, "s", w[: rnd.randrange(40, len(w) - 1)]) for i, w in enumerate(whole)] + [(200 + i, "s", w) for i, w in enumerate(whole[:10])]
-    ends = spark.createDataFrame([(d, "s", ending(t)[0], hash(t[:32]), t) for d, _, t in docs], "doc_id bigint, source string, state string, head bigint, text string")
-    got = {r.doc_id for r in truncation._has_longer_copy(ends.select("doc_id", "text"), ends).collect()}
-    want = {d for d, _, t in docs if ending(t)[0] in ("open", "dots") and any(u != t and u.startswith(t.rstrip()) for _, _, u in docs)}
-    assert got == want and len(got) > 40
+    whole = [" ".join(sentence(rnd) for _ in range(5)) for _ in range(60)] + ["# Weekly digest of the northern harbors\n\n" + " ".join(sentence(rnd) for _ in range(k % 7)) + f" more {k}" for k in range(80)]
+    docs = [(i, w) for i, w in enumerate(whole)] + [(1000 + i, w[: rnd.randrange(2, len(w) - 1)]) for i, w in enumerate(whole)] + [(2000 + i, w) for i, w in enumerate(whole[:10])]
+    docs += [(3000 + i, w[: rnd.randrange(40, len(w) - 1)] + "...") for i, w in enumerate(whole[:20])] + [(4000, ""), (4001, "x" * 5000), (4002, "x" * 9000), (4003, "x" * 5000)]
+    texts = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    ends = truncation._with_base(spark.createDataFrame([(d, ending(t)[0], t) for d, t in docs], "doc_id bigint, state string, text string")).drop("text")
+    got = {r.doc_id for r in truncation._has_longer_copy(texts, ends).collect()}
+    base = {d: t.rstrip(" \n.…") for d, t in docs}
+
+    def goes_on(t):  # what follows it, where it is short, has to be the same everywhere
+        on = {u[len(t) : len(t) + truncation.GOES_ON] for u in docs_ if len(u.rstrip(" \n.…")) > len(t) and u.startswith(t)}
+        return bool(on) if len(t) >= truncation.HEAD else len(on) == 1
+
+    docs_ = [t for _, t in docs]
+    assert got == {d for d, t in docs if ending(t)[0] in ("open", "dots") and base[d] and goes_on(base[d])} and len(got) > 80 and {4001, 4003} <= got
+
+
+def test_pieces_of_long_words(spark):
+    counts = spark.createDataFrame([("a" * 60, 3), ("a" * 50 + "b", 2), ("looms", 5), ("loo", 1)], "key string, total bigint")
+    wanted = spark.createDataFrame([("a" * 50,), ("a" * 60,), ("loo",), ("looms",)], "key string")
+    assert {(r.key, r.longer) for r in truncation._longer_words(wanted, counts).collect()} == {("a" * 50, 5), ("loo", 5)}
+
+
+def test_typos_of_a_large_corpus_do_not_hide_pieces(spark):
+    rnd = random.Random(12)
+    body = " ".join(sentence(rnd) for _ in range(400))
+    rows = [(k, "s", body + " The loo is a typo here. " + body, "", "") for k in range(3)] + [(100, "s", " ".join(sentence(rnd) for _ in range(3)) + " The northern meado", "", ""), (101, "s", "The northern kilns protect these loo", "", "")]
+    got = {r.doc_id for r in truncation.judged(spark.createDataFrame(rows, DOC)).where("truncated").collect()}
+    assert got == {100, 101}
+
+
+def test_long_trailers_and_words():
+    links = "\n".join(f"https://a.example/{'p' * 90}/{k}" for k in range(40))
+    assert ending("All is said.\n\n" + links)[0] == "ended" and ending("All is sai\n\n" + links)[1] == "sai" and ending("so " + "ab" * 400)[1] == "ab" * 400
 
 
 def test_a_field_limit(spark):
