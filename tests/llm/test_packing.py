@@ -53,3 +53,40 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "The looms weave cloth."), (2, ""), (3, None), (4, "織機 " * 5000), (None, "x")], "doc_id bigint, text string").withColumn("tokens", F.lit("x"))
     got = {r.doc_id: r.tokens for r in packing.token_counts(df).collect()}
     assert set(got) == {1, 2, 4} and got[2] == 0 and 4 <= got[1] <= 8 and got[4] >= 5000
+
+
+def test_the_last_merge_does_not_grow_with_the_items(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 40)
+    monkeypatch.setattr(packing, "FAN", 4)
+    rnd = random.Random(8)
+    kinds = spark.createDataFrame([("a", 1000)], KINDS)
+    seen = []
+    whole = packing._merge
+    for n in (600, 6000):
+        sizes = spark.createDataFrame([(i, rnd.randrange(550, 900)) for i in range(n)], "doc_id bigint, tokens bigint")  # no two fit one container
+        most = {}
+
+        def rounds(left, parts, most=most):
+            out = []
+            for k, m in enumerate(whole_rounds(left, parts)):
+                most[k] = max(r[0] for r in m.groupBy("container_name", "to_part").count().select("count").collect())
+                out.append(m)
+            return out
+
+        whole_rounds = packing._rounds
+        monkeypatch.setattr(packing, "_rounds", rounds)
+        rows = packing.pack(sizes, kinds).collect()
+        monkeypatch.setattr(packing, "_rounds", whole_rounds)
+        assert len(rows) == n == len({r.container_id for r in rows}) and whole is packing._merge
+        seen.append(max(most.values()))
+    assert max(seen) <= packing.FAN * packing.OPEN
+
+
+def test_more_kinds_than_a_task_fills(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KINDS", 2)
+    sizes = spark.createDataFrame([(i, i % 7 + 1) for i in range(50)], "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([(f"k{c}", c) for c in range(3, 12)], KINDS)
+    packed = packing.pack(sizes, kinds)
+    assert {(r.container_name, r.documents, r.over, r.lost, r.divided) for r in packing.checked(packed, sizes, kinds).collect()} == {(f"k{c}", 50, 0, 0, 0) for c in range(3, 12)}
+    broken = packed.where("doc_id <> 3").unionByName(packed.where("doc_id = 4 AND container_name = 'k3'"))
+    assert any(r.lost for r in packing.checked(broken, sizes, kinds).collect())
