@@ -49,12 +49,11 @@ def _p5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _p5(spark, folder).select("policy_id", "source_id", "chapter_id")
+    return _p5(spark, folder).where("piece = 1").select("policy_id", "source_id", "chapter_id")
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    at = _p5(spark, folder).select("policy_id", "source_id", "chapter_id", F.posexplode("pieces").alias("piece", "p"))
-    return at.select("policy_id", "source_id", "chapter_id", "piece", "p.*")
+    return _p5(spark, folder)
 
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +83,12 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checked": p6_checked, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
 
+_CLOSED = """
+        ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chapter_id ORDER BY received_at DESC, ord DESC, title DESC, start_ms DESC, end_ms DESC) AS k FROM chapters
+              WHERE source_id IS NOT NULL AND chapter_id IS NOT NULL) WHERE k = 1 AND start_ms IS NOT NULL),
+        tr AS (SELECT source_id, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC, duration_ms DESC NULLS LAST) AS k FROM transcripts) WHERE k = 1),
+        cl AS (SELECT ch.source_id, chapter_id, start_ms, coalesce(end_ms, lead(start_ms) OVER (PARTITION BY ch.source_id ORDER BY start_ms, ord, chapter_id), duration_ms) AS e FROM ch LEFT JOIN tr USING (source_id))
+"""
 SQL: dict[str, str] = {
     "p2_found": """
         WITH e AS (SELECT source_id, start_ms, min(evidence_id) AS evidence_id FROM evidence WHERE source_id IS NOT NULL AND start_ms IS NOT NULL GROUP BY 1, 2),
@@ -93,11 +98,20 @@ SQL: dict[str, str] = {
         SELECT claim_id, evidence_id FROM m WHERE k = 1
     """,
     "p6_checked": "SELECT container_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS documents, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS divided FROM containers",
-    "p5_found": """
-        WITH ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chapter_id ORDER BY received_at DESC, ord DESC, title DESC, start_ms DESC, end_ms DESC) AS k FROM chapters
-              WHERE source_id IS NOT NULL AND chapter_id IS NOT NULL) WHERE k = 1 AND start_ms IS NOT NULL),
-        tr AS (SELECT source_id, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC, duration_ms DESC NULLS LAST) AS k FROM transcripts) WHERE k = 1),
-        cl AS (SELECT ch.source_id, chapter_id, start_ms, coalesce(end_ms, lead(start_ms) OVER (PARTITION BY ch.source_id ORDER BY start_ms, ord, chapter_id), duration_ms) AS e FROM ch LEFT JOIN tr USING (source_id))
-        SELECT policy_id, source_id, chapter_id FROM cl JOIN (SELECT DISTINCT policy_id, maximum_ms FROM segmentation_policies) p ON e - start_ms > maximum_ms
+    "p5_found": f"WITH {_CLOSED} SELECT policy_id, source_id, chapter_id FROM cl JOIN (SELECT DISTINCT policy_id, maximum_ms FROM segmentation_policies) p ON e - start_ms > maximum_ms",
+    "p5_pieces": rf"""
+        WITH RECURSIVE {_CLOSED},
+        c0 AS (SELECT source_id, seg_idx, start_ms AS x, CASE WHEN end_ms > start_ms THEN end_ms END AS z, regexp_replace(coalesce(text, ''), '<[^>]*>|[\[(][^\])]*[\])]|♪', ' ', 'g') AS p FROM segments
+               WHERE start_ms IS NOT NULL AND seg_idx IS NOT NULL AND source_id IN (SELECT source_id FROM tr)),
+        c1 AS (SELECT source_id, seg_idx, x, z, regexp_matches(p, '[.!?。！？…][\s"''”’»)\]*]*$') AS s, len(list_filter(regexp_split_to_array(p, '\s+'), lambda v: v <> '')) AS w FROM c0),
+        c2 AS (SELECT *, lead(x) OVER (PARTITION BY source_id ORDER BY x, seg_idx) AS nx FROM (SELECT *, row_number() OVER (PARTITION BY source_id, seg_idx ORDER BY x, z NULLS FIRST, s, w) AS k FROM c1) WHERE k = 1),
+        c3 AS (SELECT source_id, x, w, CASE WHEN s OR nx - coalesce(z, nx) >= {splitting.PAUSE_MS} THEN coalesce(z, nx) END AS b FROM c2),
+        j AS (SELECT policy_id, source_id, chapter_id, start_ms, e, maximum_ms AS lim, greatest(0, least(overlap_ms, maximum_ms - 1)) AS ov FROM cl JOIN (SELECT DISTINCT policy_id, maximum_ms, coalesce(overlap_ms, 0) AS overlap_ms FROM segmentation_policies) p ON e - start_ms > maximum_ms),
+        m AS (SELECT j.policy_id, j.source_id, j.chapter_id, list(b) AS bs FROM j JOIN c3 ON c3.source_id = j.source_id AND b >= start_ms AND b < e GROUP BY 1, 2, 3),
+        w AS (SELECT j.*, coalesce(bs, []) AS bs, 0 AS piece, start_ms AS a, start_ms AS nxt, start_ms AS z, true AS "natural" FROM j LEFT JOIN m USING (policy_id, source_id, chapter_id)
+              UNION ALL SELECT policy_id, source_id, chapter_id, start_ms, e, lim, ov, bs, piece + 1, nxt, CASE WHEN e - nxt <= lim THEN e ELSE coalesce(best, nxt + lim) - ov END, CASE WHEN e - nxt <= lim THEN e ELSE coalesce(best, nxt + lim) END, e - nxt <= lim OR best IS NOT NULL
+              FROM (SELECT *, list_max(list_filter(bs, lambda b: b > nxt + ov AND b <= nxt + lim)) AS best FROM w WHERE z < e)),
+        pw AS (SELECT policy_id, w.source_id, chapter_id, piece, sum(c3.w) AS words FROM w JOIN c3 ON c3.source_id = w.source_id AND c3.x >= a AND c3.x < z WHERE piece > 0 GROUP BY 1, 2, 3, 4)
+        SELECT policy_id, source_id, chapter_id, CAST(piece AS INTEGER) AS piece, a AS start_ms, z AS end_ms, "natural", CAST(coalesce(words, 0) AS BIGINT) AS words FROM w LEFT JOIN pw USING (policy_id, source_id, chapter_id, piece) WHERE piece > 0
     """,
 }
