@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,17 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from cuewright.staging import stage
 
-#: Words of a term.
+#: Words that a hit consists of, one after the other (fewer in an item that is shorter).
 WIDTH = 3
 #: Words that a passage has at least (fewer in an item that is shorter), and the share of an item's words that counts as a leak.
 PASSAGE_WORDS = 9
 LEAST_SHARE = 1 / 3
 #: Within a passage: most words from one hit to the next, and most that one side may have more than the other there.
 STEP, SHIFT = 6, 3
-#: Words of all items that one pass over the documents looks for; more items are searched in blocks, one pass each.
+#: Words of all items that one pass over the index looks for; more items are searched in blocks.
 BLOCK_WORDS = 2_000_000
-#: Postings of one shard of the index.
-SHARD = 200_000
+#: Words of the documents of one shard of the index, and words whose hash a task keeps.
+SHARD, KEPT = 1_000_000, 1_000_000
 
 _CJK = "぀-ヿ㐀-䶿一-鿿々"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
@@ -49,41 +48,118 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", plain))
 
 
+class Hashes(dict):
+    """64-bit hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        return np.array([self[x] for x in words(text)], np.int64)
+
+
+#: One shard: its terms (hashes of words, sorted), where the postings of each end, the postings (places of the term in the
+#: shard's words, ascending), where each document's words begin, and the documents.
+SHARDS = "terms array<bigint>, ends array<int>, places array<int>, starts array<int>, doc_ids array<bigint>"
+
+
+def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = Hashes()
+    ids: list[int] = []
+    found: list[np.ndarray] = []
+    size = 0
+
+    def shard() -> pd.DataFrame:
+        word = np.concatenate(found)
+        places = np.argsort(word, kind="stable").astype(np.int32)
+        word = word[places]
+        first = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+        starts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        cells = [word[first], np.append(first[1:], len(word)).astype(np.int32), places, starts, np.array(ids, np.int64)]
+        return pd.DataFrame([cells], columns=[x.split()[0] for x in SHARDS.split(", ")])
+
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            w = hashes.of(text)
+            if len(w):
+                ids.append(doc)
+                found.append(w)
+                size += len(w)
+            if size >= SHARD:
+                yield shard()
+                ids, found, size = [], [], 0
+    if found:
+        yield shard()
+
+
+def index(documents: DataFrame) -> DataFrame:
+    """The positional inverted index of all words of all documents, a row a shard. Written once, it answers any items.
+
+    It is split by document, so postings never leave their shard, and a word that every document holds weighs on no
+    single task. Rows with a null id or text have no words.
+    """
+    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInPandas(_index, SHARDS)
+
+
 class Items:
-    """The terms of a block of items: the vocabulary, the sorted term numbers, and by term where it stands (item, position)."""
+    """A block of items: the different hits that are looked for, and where items have them (hit, item, position), by hit.
+
+    A hit is its words' numbers in one number, with those of each width apart; the numbers of words are under 2^21, so
+    three fit 63 bits.
+    """
 
     def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
+        hashes = Hashes()
         self.ids = [item for item, _ in rows]
         self.lengths = np.array([len(w) for _, w in rows], np.int64)
-        self.vocabulary: dict[str, int] = {}
-        texts = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64) for _, w in rows]
-        each = [self.numbers(t) for t in texts]
-        sizes = [len(e) for e in each]
-        self.terms, index = np.unique(np.concatenate(each), return_inverse=True)
-        order = np.argsort(index, kind="stable")
-        self.term = index[order]
-        self.item = np.repeat(np.arange(len(each)), sizes)[order]
-        self.position = np.concatenate([np.arange(n) for n in sizes])[order]
-
-    def numbers(self, w: np.ndarray) -> np.ndarray:
-        """Numbers of the terms that begin at each word, -1 where one of its words is unknown. Words are under 2^21, so three fit 63 bits."""
-        parts = [w[i : max(0, len(w) - WIDTH + 1) + i] for i in range(WIDTH)]
-        known = reduce(np.minimum, parts) >= 0
-        return np.where(known, reduce(lambda a, b: a * len(self.vocabulary) + b, parts), -1)
-
-    def seeds(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which entries are rare enough to look for first, and how many of them each item's leaks must hit at least.
-
-        A leak hits half as many terms as it covers words. Leaving out the commonest terms of an item, fewer than that,
-        so loses no leak; what is left out is what everyday phrases share.
+        self.widths = np.minimum(WIDTH, self.lengths)
+        texts = [np.array([hashes[x] for x in w], np.int64) for _, w in rows]
+        self.vocabulary, flat = np.unique(np.concatenate(texts), return_inverse=True)
+        edges = np.cumsum([0, *self.lengths])
+        self.of_width: dict[int, tuple[np.ndarray, int]] = {}  # width: sorted hits, number of the first
+        hit, item, position = [], [], []
+        first = 0
+        for width in np.unique(self.widths).tolist():
+            mine = np.nonzero(self.widths == width)[0]
+            codes = [self.codes(flat[edges[k] : edges[k + 1]], width) for k in mine]
+            known, number = np.unique(np.concatenate(codes), return_inverse=True)
+            self.of_width[width] = known, first
+            hit.append(number + first)
+            item.append(np.repeat(mine, [len(c) for c in codes]))
+            position.append(np.concatenate([np.arange(len(c)) for c in codes]))
+            first += len(known)
+        self.hits = first
+        hit = np.concatenate(hit)
+        order = np.argsort(hit, kind="stable")
+        self.item, self.position = np.concatenate(item)[order], np.concatenate(position)[order]
+        self.bounds = np.searchsorted(hit[order], np.arange(first + 1))
+        self.hit = hit[order]
+        self.skip = np.maximum(0, np.ceil(self.lengths * LEAST_SHARE / 3).astype(np.int64) - 1)
+        self.need = np.maximum(1, np.ceil(self.lengths * LEAST_SHARE / 2).astype(np.int64) - self.skip)
+
+    def codes(self, w: np.ndarray, width: int) -> np.ndarray:
+        """Of words in order the hits that begin at each."""
+        n = len(w) - width + 1
+        code = w[:n].astype(np.int64)
+        for j in range(1, width):
+            code = code * len(self.vocabulary) + w[j : n + j]
+        return code
+
+    def seeds(self, counts: np.ndarray) -> np.ndarray:
+        """Which places of items have hits rare enough to be looked for first, of counts by hit.
+
+        A leak has half as many hits as it covers words. Leaving out the commonest hits of an item, fewer than that, so
+        loses no leak, whatever the counts; what is left out is what everyday phrases share. At least ``need`` others remain.
         """
-        least = np.ceil(self.lengths * LEAST_SHARE / 2).astype(np.int64)
-        skip = np.ceil(self.lengths * LEAST_SHARE / 3).astype(np.int64) - 1
-        order = np.lexsort((self.position, -frequency[self.term], self.item))
-        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
+        order = np.lexsort((self.position, -counts[self.hit], self.item))
+        item = self.item[order]
+        rank = np.arange(len(order)) - np.searchsorted(item, item)
         keep = np.empty(len(order), bool)
-        keep[order] = rank >= skip[self.item[order]]
-        return keep, np.maximum(1, least - skip)
+        keep[order] = rank >= self.skip[item]
+        return keep
 
 
 def _pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,48 +169,40 @@ def _pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
 
 
-SHARDS = "terms array<int>, ends array<int>, frequency array<int>, rows array<int>, positions array<int>, doc_ids array<bigint>"
-
+def _hits(items: Items, s) -> tuple[np.ndarray, np.ndarray]:
+    """Hits of the items in a shard, as (number of the hit, place of its first word).
 
-def _index(items: Items, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards of the inverted index: postings (row, position) by term, of the terms that some item holds."""
-    get, unknown = items.vocabulary.get, -1
-    ids, found, size = [], [], 0
-
-    def shard() -> pd.DataFrame:
-        row = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
-        term, position = np.concatenate([t for t, _ in found]), np.concatenate([p for _, p in found])
-        order = np.argsort(term, kind="stable")  # by row and position within a term
-        term, row, position = term[order], row[order], position[order]
-        terms, start = np.unique(term, return_index=True)
-        new = np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])
-        cells = [terms, np.append(start[1:], len(term)), np.add.reduceat(new.astype(np.int64), start), row, position]
-        return pd.DataFrame([[*(c.astype(np.int32) for c in cells), np.array(ids, np.int64)]], columns=["terms", "ends", "frequency", "rows", "positions", "doc_ids"])
-
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-            w = np.array([get(x, unknown) for x in words(text)], np.int64)
-            if len(w) < WIDTH:
-                continue
-            value = items.numbers(w)
-            at = np.minimum(np.searchsorted(items.terms, value), len(items.terms) - 1)
-            hit = np.nonzero(items.terms[at] == value)[0]
-            if len(hit):
-                ids.append(doc)
-                found.append((at[hit], hit))
-                size += len(hit)
-        if size >= SHARD:
-            yield shard()
-            ids, found, size = [], [], 0
-    if found:
-        yield shard()
-
-
-def passages(hits: list[tuple[int, int]], least: int) -> tuple[set[int], int]:
-    """Words of the item that passages cover, and the number of passages, of hits (position in the document, in the item), sorted.
+    Only the lists of the items' words are read. They are laid side by side in order of place; where a list moved by one
+    and one moved by two hold the same place, three words stand in a row.
+    """
+    terms, ends, starts = np.asarray(s.terms), np.asarray(s.ends, np.int64), np.asarray(s.starts, np.int64)
+    at = np.minimum(np.searchsorted(terms, items.vocabulary), len(terms) - 1)
+    here = np.nonzero(terms[at] == items.vocabulary)[0]
+    word, k = _pairs(np.concatenate([[0], ends[:-1]])[at[here]], ends[at[here]])
+    word_at = np.full(int(starts[-1]) + WIDTH, -1, np.int32)
+    word_at[np.asarray(s.places)[k]] = here[word]
+    place = np.nonzero(word_at >= 0)[0]
+    last = starts[np.searchsorted(starts, place, side="right")]  # where the document ends
+    found = []
+    for width, (known, first) in items.of_width.items():
+        mine = place[place + width <= last]
+        code = word_at[mine].astype(np.int64)
+        for j in range(1, width):
+            beside = word_at[mine + j]
+            ok = beside >= 0
+            mine, code = mine[ok], code[ok] * len(items.vocabulary) + beside[ok]
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        ok = known[at] == code
+        found.append((at[ok] + first, mine[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def passages(hits: list[tuple[int, int]], least: int, width: int = WIDTH) -> tuple[set[int], list[tuple[int, int, bool]]]:
+    """Words of the item that passages cover, and the passages, of hits (position in the document, in the item), sorted.
 
     A hit goes to the passage that it continues with the smallest shift. A passage counts if it covers ``least`` words
-    and has a hit for every two of them.
+    and has a hit for every two of them; it is given as its first and last word in the document, and whether it is an
+    exact phrase: no word between them is changed, added or missing.
     """
     open_: list[list[tuple[int, int]]] = []
     done: list[list[tuple[int, int]]] = []
@@ -151,56 +219,61 @@ def passages(hits: list[tuple[int, int]], least: int) -> tuple[set[int], int]:
             open_.append([(d, i)])
         else:
             best.append((d, i))
-    covered, count = set(), 0
+    covered: set[int] = set()
+    found = []
     for p in done + open_:
-        w = {i + k for _, i in p for k in range(WIDTH)}
+        w = {i + k for _, i in p for k in range(width)}
         if len(w) >= least and 2 * len(p) >= len(w):
             covered |= w
-            count += 1
-    return covered, count
+            exact = all(b[0] - a[0] == b[1] - a[1] <= width for a, b in zip(p, p[1:]))
+            found.append((p[0][0], p[-1][0] + width - 1, exact))
+    return covered, sorted(found)
+
+
+MATCHES = "item_id bigint, doc_id bigint, share double, kind string, passages array<struct<first_word:int,last_word:int,exact:boolean>>"
 
 
-def _search(items: Items, seed: np.ndarray, need: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(items: Items, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n, width = len(items.ids), int(items.lengths.max()) + 1
-    bounds = np.searchsorted(items.term, np.arange(len(items.terms) + 1))
-    rare = np.nonzero(seed)[0]
-    rare_bounds = np.searchsorted(items.term[rare], np.arange(len(items.terms) + 1))
     for batch in batches:
         out = []
         for s in batch.itertuples(index=False):
-            term = np.repeat(s.terms, np.diff(s.ends, prepend=0))
-            # from the rarest terms: pairs (row, item) with enough of them
-            p, e = _pairs(rare_bounds[term], rare_bounds[term + 1])
-            e = rare[e]
-            distinct = np.unique((s.rows[p].astype(np.int64) * n + items.item[e]) * width + items.position[e])
+            hit, place = _hits(items, s)
+            if not len(hit):
+                continue
+            starts = np.asarray(s.starts, np.int64)
+            k, e = _pairs(items.bounds[hit], items.bounds[hit + 1])
+            doc = (np.searchsorted(starts, place, side="right") - 1)[k]
+            key = doc * n + items.item[e]
+            # from the rarest terms: pairs (document, item) with enough hits
+            rare = items.seeds(np.bincount(hit, minlength=items.hits))[e]
+            distinct = np.unique(key[rare] * width + items.position[e[rare]])
             pair, count = np.unique(distinct // width, return_counts=True)
-            pair = pair[count >= need[pair % n]]
+            pair = pair[count >= items.need[pair % n]]
             if not len(pair):
                 continue
-            # all postings of these rows, met with all terms of these items
-            mine = np.nonzero(np.isin(s.rows, np.unique(pair // n)))[0]
-            p, e = _pairs(bounds[term[mine]], bounds[term[mine] + 1])
-            p = mine[p]
-            key = s.rows[p].astype(np.int64) * n + items.item[e]
-            keep = np.isin(key, pair)
-            key, d, i = key[keep], s.positions[p[keep]], items.position[e[keep]]
-            order = np.lexsort((i, d, key))
-            key, d, i = key[order], d[order].tolist(), i[order].tolist()
-            edges = [*np.searchsorted(key, pair), len(key)]
-            for k, a, b in zip(pair.tolist(), edges, edges[1:]):
-                item, length = k % n, int(items.lengths[k % n])
-                covered, parts = passages(list(zip(d[a:b], i[a:b])), min(PASSAGE_WORDS, length))
+            # all hits of these items in these documents
+            which = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+            mine = np.nonzero(pair[which] == key)[0]
+            which, d, i = which[mine], (place[k] - starts[doc])[mine], items.position[e[mine]]
+            order = np.lexsort((i, d, which))
+            which, d, i = which[order], d[order].tolist(), i[order].tolist()
+            edges = np.searchsorted(which, np.arange(len(pair) + 1)).tolist()
+            for p, a, b in zip(pair.tolist(), edges, edges[1:]):
+                item, length = p % n, int(items.lengths[p % n])
+                covered, parts = passages(list(zip(d[a:b], i[a:b])), min(PASSAGE_WORDS, length), int(items.widths[item]))
                 if len(covered) >= LEAST_SHARE * length:
-                    out.append((items.ids[item], int(s.doc_ids[k // n]), len(covered) / length, parts))
+                    exact = all(x for *_, x in parts)
+                    out.append((items.ids[item], int(s.doc_ids[p // n]), len(covered) / length, "exact" if exact else "proximity", [dict(zip(("first_word", "last_word", "exact"), x)) for x in parts]))
         if out:
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "share", "passages"])
+            yield pd.DataFrame(out, columns=["item_id", "doc_id", "share", "kind", "passages"])
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
     block, size = [], 0
     for item, text in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         w = words(text)
-        if len(w) < WIDTH:
+        if not w:
             continue
         if block and size + len(w) > BLOCK_WORDS:
             yield block
@@ -211,29 +284,29 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
         yield block
 
 
-def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that hold at least a third of an item's words in passages of its wording and order.
-
-    Returns ``item_id, doc_id, share, passages``, one row per pair. Case, accents, punctuation, markup, entities, line
-    breaks and invisible characters make no difference, a few changed, added or missing words end no passage. Rows with
-    a null id or text, and items under three words, match nothing. Of repeated rows with one id the best counts; extra
-    columns are ignored.
+def search(shards: DataFrame, items: DataFrame) -> DataFrame:
+    """What an :func:`index` holds of the items: ``item_id, doc_id, share, kind, passages``, one row per pair.
 
-    The index is split by document: each shard holds the postings of the items' terms in its documents, so only the
-    number of documents per term, bounded by the block of items, ever leaves a shard. A term or item that a third of all
-    documents hold weighs on no single task.
+    ``share`` of the item's words that passages cover, ``kind`` ``exact`` if all of them are exact phrases and
+    ``proximity`` else, and each passage's first and last word in the document. Items without words match nothing, those
+    of fewer than three words match where they stand as a whole. Of repeated rows with one id the best counts.
     """
-    result = documents.where("false").select(F.lit(0).cast("bigint").alias("item_id"), F.col("doc_id").cast("bigint"), F.lit(0.0).alias("share"), F.lit(0).alias("passages"))
-    spark = documents.sparkSession
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    spark = shards.sparkSession
+    result = None
     for block in _blocks(items):
-        shared = Items(block)
-        known = spark.sparkContext.broadcast(shared)  # BLOCK_WORDS words at most
-        shards = stage(texts.mapInPandas(lambda b, known=known: _index(known.value, b), SHARDS), "leakage")
-        counted = shards.select(F.explode(F.arrays_zip("terms", "frequency")).alias("t")).groupBy("t.terms").agg(F.sum("t.frequency").alias("n")).toPandas()
-        frequency = np.zeros(len(shared.terms), np.int64)
-        frequency[counted["terms"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        rule = spark.sparkContext.broadcast(shared.seeds(frequency))
-        found = shards.mapInPandas(lambda b, known=known, rule=rule: _search(known.value, *rule.value, b), "item_id bigint, doc_id bigint, share double, passages int")
-        result = result.unionByName(found)
-    return result.groupBy("item_id", "doc_id").agg(F.max(F.struct("share", "passages")).alias("m")).select("item_id", "doc_id", "m.share", "m.passages")
+        known = spark.sparkContext.broadcast(Items(block))  # BLOCK_WORDS words at most
+        found = shards.mapInPandas(lambda b, known=known: _search(known.value, b), MATCHES)
+        result = found if result is None else result.unionByName(found)
+    if result is None:
+        return spark.createDataFrame([], MATCHES)
+    best = result.groupBy("item_id", "doc_id").agg(F.max(F.struct("share", "kind", "passages")).alias("m"))
+    return best.select("item_id", "doc_id", "m.share", "m.kind", "m.passages")
+
+
+def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that hold at least a third of an item's words in passages of its wording and order, as :func:`search` gives them.
+
+    Case, accents, punctuation, markup, entities, line breaks and invisible characters make no difference, a few changed,
+    added or missing words end no passage. Rows with a null id or text match nothing; extra columns are ignored.
+    """
+    return search(stage(index(documents), "index"), items)

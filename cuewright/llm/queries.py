@@ -73,6 +73,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
 
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each passage that leaked: where it stands in the document, and whether it is an exact phrase."""
+    found = leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("item_id", "doc_id", "share", "kind", F.posexplode("passages").alias("passage", "p")).select("item_id", "doc_id", "share", "kind", "passage", "p.*")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.judged(table(spark, folder, "documents")).where("truncated").select("doc_id").distinct()
 
@@ -81,7 +87,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncated_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checked": p6_checked, "p7_found": p7_found, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_layouts": p1_layouts, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p3_languages": p3_languages, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_checked": p6_checked, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_share": p8_share}
 
 _CLOSED = """
         ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chapter_id ORDER BY received_at DESC, ord DESC, title DESC, start_ms DESC, end_ms DESC) AS k FROM chapters

@@ -21,14 +21,16 @@ def brute(docs, items):
             continue
         w = words(t)
         where = {}
-        for k in range(len(w) - 2):
-            where.setdefault(tuple(w[k : k + 3]), []).append(k)
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                where.setdefault(tuple(w[k : k + n]), []).append(k)
         for i, u in items:
             v = words(u or "")
-            if i is None or len(v) < 3:
+            if i is None or not v:
                 continue
-            hits = sorted((k, q) for q in range(len(v) - 2) for k in where.get(tuple(v[q : q + 3]), ()))
-            covered, _ = passages(hits, min(leakage.PASSAGE_WORDS, len(v)))
+            n = min(3, len(v))
+            hits = sorted((k, q) for q in range(len(v) - n + 1) for k in where.get(tuple(v[q : q + n]), ()))
+            covered, _ = passages(hits, min(leakage.PASSAGE_WORDS, len(v)), n)
             if len(covered) >= len(v) / 3:
                 out[i, d] = max(out.get((i, d), 0), round(len(covered) / len(v), 9))
     return out
@@ -56,7 +58,8 @@ def test_against_brute_force_with_planted_passages(spark, monkeypatch):
         docs.append((d, " ".join(body + common * rnd.randrange(0, 3))))
     docs += [(400 + d, items[30][1]) for d in range(200)]  # one item in a third of all documents
     docs += docs[:20] + [(None, items[0][1]), (900, None), (901, ""), (902, items[1][1] + " " + " ".join(text(rnd, 60_000)))]
-    items += [(50, "two words"), (51, None), (None, "x y z w"), (52, ""), items[3]]
+    items += [(50, " ".join(VOCABULARY[:2])), (53, VOCABULARY[5]), (51, None), (None, "x y z w"), (52, ""), items[3]]
+    docs += [(910, "x " + VOCABULARY[0] + ", " + VOCABULARY[1])]
     got = {(r.item_id, r.doc_id): round(r.share, 9) for r in leakage.leaked(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()}
     assert got == brute(docs, items) and len(got) > 250
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
@@ -64,6 +67,53 @@ def test_against_brute_force_with_planted_passages(spark, monkeypatch):
     assert again == got
 
 
+def test_planted_passages_are_found_and_nothing_else(spark, tmp_path):
+    """Independent of the operator's own functions: what was planted is known."""
+    rnd = random.Random(21)
+    filler = [f"f{k}" for k in range(400)]
+    items = [(i, text(rnd, 36)) for i in range(30)]
+    docs, want, kinds = [], set(), {}
+    for d in range(600):
+        body = [rnd.choice(filler) for _ in range(rnd.randrange(20, 200))]
+        i, v = rnd.choice(items)
+        kind = d % 6
+        k = rnd.randrange(len(body))
+        if kind == 0:  # a passage as it stands
+            a = rnd.randrange(0, 18)
+            part = v[a : a + 18]
+            kinds[i, d] = "exact"
+        elif kind == 1:  # with a changed word in it
+            part = [*v[:14], "other", *v[15:30]]
+            kinds[i, d] = "proximity"
+        elif kind == 2:  # in two places
+            body = v[:12] + body
+            part = v[20:33]
+            kinds[i, d] = "exact"
+        elif kind == 3:  # a short quotation
+            part = v[:5]
+        elif kind == 4:  # the same words in another order
+            part = rnd.sample(v, len(v))
+        else:
+            part = []
+        if kind < 3:
+            want.add((i, d))
+        docs.append((d, " ".join(body[:k] + part + body[k:]).upper()))
+    corpus = spark.createDataFrame(docs, DOC).repartition(4)
+    leakage.index(corpus).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    rows = leakage.search(stored, spark.createDataFrame([(i, " ".join(v)) for i, v in items], ITEM)).collect()
+    assert {(r.item_id, r.doc_id) for r in rows} == want and {(r.item_id, r.doc_id): r.kind for r in rows} == kinds
+    words_of = {d: t.lower().split() for d, t in docs}
+    for r in rows:
+        v = dict(items)[r.item_id]
+        for p in r.passages:
+            part = words_of[r.doc_id][p.first_word : p.last_word + 1]
+            assert part[0] in v and part[-1] in v and len(part) >= 9 and (not p.exact or " ".join(part) in " ".join(v))
+    # other items from the same index, without the corpus
+    other = " ".join(words_of[5][:20])
+    assert {r.doc_id for r in leakage.search(stored, spark.createDataFrame([(99, other)], ITEM)).collect()} >= {5}
+
+
 SENTENCE = "The careful magnets have to slow the façades until these anchors keep the northern lanterns over seven quiet winters"
 
 
