@@ -205,25 +205,25 @@ def document_frequency(cues: DataFrame, features: list[str]) -> Frequency:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = known.value
-        held, counts = np.zeros(len(place), bool), np.zeros(len(place), np.int64)
+        counts = np.zeros(len(place), np.int64)
         of_word: dict[str, np.ndarray] = {}
         texts = 0
         for b in batches:
             if len(of_word) > 200_000:
                 of_word.clear()
+            seen = []
             for text in b["text"].tolist():
                 here = []
-                for w in spoken_words(text):
+                for w in set(spoken_words(text)):
                     at = of_word.get(w)
                     if at is None:
                         at = of_word[w] = np.array([k for g in grams(w) if (k := place.get(g)) is not None], np.int64)
                     here.append(at)
                 if here:
                     texts += 1
-                    at = np.concatenate(here)
-                    held[at] = True
-                    counts += held
-                    held[at] = False
+                    seen.append(np.unique(np.concatenate(here)))
+            if seen:
+                counts += np.bincount(np.concatenate(seen), minlength=len(place))
         some = np.nonzero(counts)[0]
         yield pd.DataFrame({"gram": np.append(some, -1), "n": np.append(counts[some], texts)})
 

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuewright.llm.layouts import COLUMN, MINED, MOST_LAYOUTS, RUN_WORD, Slots, Token, TokenTree, column_head, decided, heads, run_before
+from cuewright.llm.layouts import COLUMN, MAY_HOLD, MINED, MOST_LAYOUTS, RUN_WORD, Slots, Token, TokenTree, column_head, decided, heads, run_before
 from cuewright.operators.ordered import cell, neighbour
 from cuewright.sources.tables import counted_cues
 from cuewright.staging import stage
@@ -134,7 +134,9 @@ def has_words(text: str) -> bool:
 
 def _even(text: str | None) -> str:
     """The text with blanks that are the same everywhere: a line break is one, other white space is one blank."""
-    return _SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", (text or "").replace("\xa0", " ")).lstrip()
+    if not text or text == (plain := " ".join(text.split())):
+        return text or ""
+    return _SPACES.sub(lambda m: "\n" if "\n" in m[0] else " ", text.replace("\xa0", " ")).lstrip() if "\n" in text else plain
 
 
 def _label(text: str, tokens: list[Token], i: int, k: int, constants: frozenset, find: Callable[[str], int | None]) -> int | None:
@@ -145,21 +147,26 @@ def _label(text: str, tokens: list[Token], i: int, k: int, constants: frozenset,
     return person
 
 
+def named_by_column(speaker: str | None, find: Callable[[str], int | None], slots: Slots) -> int | None:
+    """The person that a label column names, by the slots of its layout."""
+    if speaker and speaker.strip():
+        tokens = column_head(speaker)
+        for k, is_speaker, _, constants in slots.walk(COLUMN, tokens):
+            i = run_before(tokens, k)
+            if is_speaker and i < k and (person := _label(speaker, tokens, i, k, constants, find)) is not None:
+                return person
+    return None
+
+
 Part = tuple[int | None, bool, str]
 
 
-def parts_of(text: str | None, speaker: str | None, find: Callable[[str], int | None], slots: Slots) -> list[Part]:
+def parts_of(text: str | None, person: int | None, find: Callable[[str], int | None], slots: Slots) -> list[Part]:
     """A cue as parts (person or None, whether it has words, text), cut where a speaker slot of a layout names a person.
 
-    Times in time slots are taken out; a label in a speaker slot that names nobody stays in the text but is no word.
+    ``person`` is who the cue's label column names. Times in time slots are taken out; a label in a speaker slot that
+    names nobody stays in the text but is no word.
     """
-    person = None
-    if speaker and speaker.strip():
-        tokens = column_head(speaker)
-        for k, is_speaker, _, constants in slots.walk(COLUMN, tokens):
-            i = run_before(tokens, k)
-            if is_speaker and i < k and (person := _label(speaker, tokens, i, k, constants, find)) is not None:
-                break
     text = _even(text)
     out: list[Part] = []
     skips: list[tuple[int, int, bool]] = []  # stretches that are no words, and whether they stay in the text
@@ -194,14 +201,18 @@ def _part(person: int | None, text: str, start: int, end: int, skips: list[tuple
             at = z
     counted.append(text[at:end])
     kept.append(text[at:end])
-    return person, has_words(" ".join(counted)), _OPENERS.sub("", "".join(kept).strip())
+    return person, has_words(" ".join(counted)), "".join(kept)
 
 
 PARTS = "array<struct<person:int,words:boolean,text:string>>"
 
 
-def _cues(segments: DataFrame) -> DataFrame:
-    return segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND start_ms IS NOT NULL").select("source_id", F.col("seg_idx").cast("int"), F.col("start_ms").cast("bigint"), "text", "speaker")
+def _cues(segments: DataFrame, all_: bool = False) -> DataFrame:
+    """Cues with an id and a time; only those with a label or with marks in their text unless ``all_`` are wanted."""
+    rows = segments.where("source_id IS NOT NULL AND seg_idx IS NOT NULL AND start_ms IS NOT NULL")
+    if not all_:
+        rows = rows.where(F.coalesce(F.trim("speaker") != "", F.lit(False)) | F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False)))
+    return rows.select("source_id", F.col("seg_idx").cast("int"), F.col("start_ms").cast("bigint"), "text", "speaker")
 
 
 def _directory(speakers: DataFrame) -> list[tuple[int, str | None, str | None]]:
@@ -223,9 +234,10 @@ def layouts(segments: DataFrame, speakers: DataFrame) -> DataFrame:
         who, tree = People(people), TokenTree()
         known = lambda label: who.find(label) is not None
         for b in batches:
-            for text, speaker, start in zip(b["text"].tolist(), b["speaker"].tolist(), b["start_ms"].tolist()):
-                if speaker and speaker.strip():
-                    tree.insert(COLUMN, column_head(speaker), speaker, start / 1000, known)
+            for speaker, n in b["speaker"].value_counts(sort=False).items():
+                if speaker.strip():
+                    tree.insert(COLUMN, column_head(speaker), speaker, 0.0, known, n)
+            for text, start in zip(b["text"].tolist(), b["start_ms"].tolist()):
                 if text:
                     text = _even(text)
                     for how, tokens in heads(text):
@@ -252,15 +264,16 @@ def cue_parts(segments: DataFrame, speakers: DataFrame, with_text: bool = False)
         find = People(people).find
         for b in batches:
             keep, parts = [], []
+            labels = {x: named_by_column(x, find, slots) for x in b["speaker"].unique()}
             for i, (text, speaker) in enumerate(zip(b["text"].tolist(), b["speaker"].tolist())):
-                found = parts_of(text, speaker, find, slots)
+                found = parts_of(text, labels[speaker], find, slots)
                 if with_text or len(found) > 1 or found[0][0] is not None:
                     keep.append(i)
-                    parts.append([{"person": p[0], "words": p[1], "text": p[2] if with_text else None} for p in found])
+                    parts.append([{"person": p[0], "words": p[1], "text": _OPENERS.sub("", p[2].strip()) if with_text else None} for p in found])
             some = b[["source_id", "seg_idx", "start_ms"]].iloc[keep]
             yield some.assign(parts=pd.Series(parts, index=some.index, dtype=object))
 
-    return _cues(segments).mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
+    return _cues(segments, with_text).mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
 
 
 def spoken_parts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame, with_text: bool = False) -> DataFrame:
