@@ -246,7 +246,7 @@ def layouts(segments: DataFrame, speakers: DataFrame) -> DataFrame:
         out = [(path, None, sums) for path, sums in rows] + [(path, word, [float(n), float(total)]) for path, word, n, total in words]
         yield pd.DataFrame(out, columns=["path", "word", "sums"])
 
-    return decided(_cues(segments).mapInPandas(mine, MINED))
+    return decided(stage(_cues(segments).mapInPandas(mine, MINED), "mined"))
 
 
 def cue_parts(segments: DataFrame, speakers: DataFrame, with_text: bool = False) -> DataFrame:
