@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -16,30 +16,37 @@ HELD = 200_000
 
 
 class IntervalMap:
-    """Disjoint intervals in order. An insertion finds what it overlaps or touches by binary search and merges it."""
+    """Disjoint intervals in order, and the gaps between them. An insertion finds what it overlaps or touches by binary search, merges it and mends the gaps beside it."""
 
-    __slots__ = ("starts", "ends")
+    __slots__ = ("starts", "ends", "gap_starts", "gap_ends")
 
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.ends: list[int] = []
+    def __init__(self, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
+        self.starts: list[int] = list(starts or ())
+        self.ends: list[int] = list(ends or ())
+        self.gap_starts, self.gap_ends = self.ends[:-1], self.starts[1:]
 
     def insert(self, start: int, end: int) -> int:
         """Add [start, end); the return value is by how much the number of intervals grew."""
         starts, ends = self.starts, self.ends
         if not starts or start > ends[-1]:  # in order, the usual case
+            if starts:
+                self.gap_starts.append(ends[-1])
+                self.gap_ends.append(start)
             starts.append(start)
             ends.append(end)
             return 1
         i, j = bisect_left(ends, start), bisect_right(starts, end)
         if i < j:
             start, end = min(start, starts[i]), max(end, ends[j - 1])
+        before, after = i > 0, j < len(starts)
+        self.gap_starts[max(0, i - 1) : j] = [ends[i - 1]] * before + [end] * after
+        self.gap_ends[max(0, i - 1) : j] = [start] * before + (starts[j : j + 1] if after else [])
         starts[i:j] = [start]
         ends[i:j] = [end]
         return 1 - (j - i)
 
     def gaps(self) -> list[tuple[int, int]]:
-        return list(zip(self.ends, self.starts[1:]))
+        return list(zip(self.gap_starts, self.gap_ends))
 
 
 def _merge_any(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,8 +66,8 @@ def _merge_any(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _rows(held)
 
 
-def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """After the shuffle: rows are sorted by key, so one map at a time is open."""
+def _merge_sorted(batches: Iterator[pd.DataFrame], rows: Callable[[dict[tuple, IntervalMap]], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """After the shuffle: rows are sorted by key, so one map at a time is open. ``rows`` makes the result of finished ones."""
     now, at = None, IntervalMap()
     done: dict[tuple, IntervalMap] = {}
     for batch in batches:
@@ -71,10 +78,10 @@ def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at.insert(s, e)
         if len(done) > 1:
             last = done.pop(now)
-            yield _rows(done)
+            yield rows(done)
             done = {now: last}
     if done:
-        yield _rows(done)
+        yield rows(done)
 
 
 def _rows(maps: dict[tuple, IntervalMap]) -> pd.DataFrame:
@@ -87,18 +94,44 @@ def _rows(maps: dict[tuple, IntervalMap]) -> pd.DataFrame:
     return pd.DataFrame({"_key": keys, "_cell": cells, "_start": starts, "_end": ends})
 
 
+def gap_rows(maps: dict[tuple, IntervalMap]) -> pd.DataFrame:
+    """The gaps of each map, and a row without a gap's start for the stretch before its first interval; with the map's last end."""
+    out = []
+    for (key, c), m in maps.items():
+        out.append((key, c, None, m.starts[0], m.ends[-1]))
+        out += [(key, c, s, e, m.ends[-1]) for s, e in m.gaps()]
+    made = pd.DataFrame(out, columns=["_key", "_cell", "_gap_start", "_gap_end", "_last"])
+    return made.astype({"_gap_start": "Int64"})
+
+
+def _rows_in_cells(df: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
+    rows = df.select(F.col(key).alias("_key"), F.col(start).cast("bigint").alias("_start"), F.col(end).cast("bigint").alias("_end"))
+    rows = rows.where("_key IS NOT NULL AND _start IS NOT NULL AND _end > _start")
+    return rows.select("_key", cell(F.col("_start"), width).alias("_cell"), "_start", "_end")
+
+
+def _merged(df: DataFrame, key: str, start: str, end: str, width: int, rows: Callable[[dict[tuple, IntervalMap]], pd.DataFrame], columns: str) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    partial = _rows_in_cells(df, key, start, end, width).mapInPandas(_merge_any, f"_key {kind}, _cell bigint, _start bigint, _end bigint")
+    ordered = partial.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", "_start")
+    return ordered.mapInPandas(lambda b: _merge_sorted(b, rows), f"_key {kind}, _cell bigint, {columns}")
+
+
 def cell_periods(df: DataFrame, key: str, start: str, end: str, width: int = CELL_MS) -> DataFrame:
     """Per key and time cell (of the start) the disjoint intervals ``_start, _end``, as ``_key, _cell, _start, _end``.
 
     Rows with a null key, start or end, or an end not after the start, cover nothing. Each input partition merges what it
     holds before the shuffle, which then moves merged intervals only; a hot key is spread over its cells.
     """
-    schema = f"_key {df.schema[key].dataType.simpleString()}, _cell bigint, _start bigint, _end bigint"
-    rows = df.select(F.col(key).alias("_key"), F.col(start).cast("bigint").alias("_start"), F.col(end).cast("bigint").alias("_end"))
-    rows = rows.where("_key IS NOT NULL AND _start IS NOT NULL AND _end > _start")
-    rows = rows.select("_key", cell(F.col("_start"), width).alias("_cell"), "_start", "_end")
-    partial = rows.mapInPandas(_merge_any, schema)
-    return partial.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", "_start").mapInPandas(_merge_sorted, schema)
+    return _merged(df, key, start, end, width, _rows, "_start bigint, _end bigint")
+
+
+GAPS = "_gap_start bigint, _gap_end bigint, _last bigint"
+
+
+def cell_gaps(df: DataFrame, key: str, start: str, end: str, width: int = CELL_MS) -> DataFrame:
+    """Per key and time cell what its interval map keeps of gaps (:func:`gap_rows`): ``_key, _cell, _gap_start, _gap_end, _last``."""
+    return _merged(df, key, start, end, width, gap_rows, GAPS)
 
 
 def _with_reach(periods: DataFrame) -> DataFrame:
@@ -109,10 +142,15 @@ def _with_reach(periods: DataFrame) -> DataFrame:
     return periods.withColumn("_before", F.lag("_end").over(near)).join(carried, ["_key", "_cell"]).select("_key", "_cell", "_start", "_end", F.greatest("_before", "_in").alias("_reach"))
 
 
-def gaps_within(periods: DataFrame, floor: int = 0) -> DataFrame:
-    """The uncovered stretches from ``floor`` to the last end, of what :func:`cell_periods` gave: ``_key, gap_start_ms, gap_end_ms``."""
-    begin = F.greatest(F.col("_reach"), F.lit(floor))  # greatest skips nulls
-    return _with_reach(periods).select("_key", begin.alias("gap_start_ms"), F.col("_start").alias("gap_end_ms")).where("gap_end_ms > gap_start_ms")
+def joined_gaps(cells: DataFrame, floor: int = 0) -> DataFrame:
+    """The gaps of all cells of a key as one list, from ``floor`` to its last end: ``_key, gap_start_ms, gap_end_ms``.
+
+    What earlier cells cover of a cell shortens its gaps; it comes from one row a cell.
+    """
+    along = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cells.where("_gap_start IS NULL").select("_key", "_cell", F.max("_last").over(along).alias("_reach"))
+    begin = F.greatest("_gap_start", "_reach", F.lit(floor))  # greatest skips nulls
+    return cells.join(edges, ["_key", "_cell"]).select("_key", begin.alias("gap_start_ms"), F.col("_gap_end").alias("gap_end_ms")).where("gap_end_ms > gap_start_ms")
 
 
 def merged_periods(periods: DataFrame) -> DataFrame:
@@ -131,10 +169,14 @@ def uncovered(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     end adds nothing after that end; a source without any cover is one gap up to a known positive duration. Repeated
     cues change nothing. Empty tables give no rows.
     """
-    periods = stage(cell_periods(segments, "source_id", "start_ms", "end_ms"), "periods")
-    last = periods.groupBy(F.col("_key").alias("source_id")).agg(F.max("_end").alias("_last"))
+    return up_to_durations(stage(cell_gaps(segments, "source_id", "start_ms", "end_ms"), "gaps"), transcripts)
+
+
+def up_to_durations(cells: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """:func:`uncovered` of cells' gaps that are already made."""
+    last = cells.where("_gap_start IS NULL").groupBy(F.col("_key").alias("source_id")).agg(F.max("_last").alias("_last"))
     known = transcripts.where("source_id IS NOT NULL").select("source_id", F.col("duration_ms").cast("bigint").alias("_duration"))
-    inner = join_one(gaps_within(periods).withColumnRenamed("_key", "source_id"), known.select("source_id"), "source_id", "gap_start_ms", "left_semi")
+    inner = join_one(joined_gaps(cells).withColumnRenamed("_key", "source_id"), known.select("source_id"), "source_id", "gap_start_ms", "left_semi")
     tail = known.join(last, "source_id", "left").select("source_id", F.coalesce("_last", F.lit(0)).alias("gap_start_ms"), F.col("_duration").alias("gap_end_ms"))
     return inner.unionByName(tail.where("gap_end_ms > gap_start_ms"))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cuewright.operators import intervals
-from cuewright.sources.tables import table, valid_transcripts
+from cuewright.sources.tables import streamed_table, table, valid_transcripts
+from cuewright.streaming import intervals as streams
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,7 +19,14 @@ def p4_periods(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.spoken_periods(table(spark, folder, "segments"), table(spark, folder, "transcripts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_periods": p4_periods}
+def p4_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same gaps from a stream of the cues, whose maps are kept in keyed state."""
+    cues = streamed_table(spark, folder, "segments")
+    cells = streams.newest(streams.stream_gaps(cues, "source_id", "start_ms", "end_ms"), "gaps-stream")
+    return intervals.up_to_durations(cells, valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms"]))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_periods": p4_periods, "p4_streamed": p4_streamed}
 
 _COVER = """
     WITH tr AS (SELECT source_id, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC, duration_ms DESC NULLS LAST) AS k FROM transcripts WHERE source_id IS NOT NULL) WHERE k = 1),
@@ -38,3 +46,4 @@ SQL: dict[str, str] = {
     SELECT source_id, min(start_ms) AS period_start_ms, max(end_ms) AS period_end_ms FROM h GROUP BY source_id, g
     """,
 }
+SQL["p4_streamed"] = SQL["p4_found"]

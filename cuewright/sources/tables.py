@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def streamed_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files; it may be one file or a folder of them."""
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def latest(df: DataFrame, keys: list[str], at: str, keep: list[str]) -> DataFrame:
     """Of each key the row with the latest ``at``, reduced to ``keep``. Null keys are dropped.
 

@@ -23,6 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def staged_at(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed by :func:`release` or when the JVM ends."""
+    at = f"{shared_folder(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back.
 
@@ -30,11 +39,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the JVM ends.
     """
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
+    at = staged_at(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    _STAGED.append(at)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
 
 

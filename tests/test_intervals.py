@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 
 from cuewright.operators import intervals
 from cuewright.operators.intervals import IntervalMap
-from cuewright.streaming.intervals import stream_periods
+from cuewright.streaming.intervals import newest, stream_gaps, stream_periods
 
 SCHEMA = "source_id string, start_ms bigint, end_ms bigint"
 HOUR = 3_600_000
@@ -87,3 +87,14 @@ def test_stream_holds_the_same_periods(spark, tmp_path):
     stream_periods(stream, "source_id", "start_ms", "end_ms").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     want = {(r._key, r._cell, r._start, r._end) for r in intervals.cell_periods(spark.createDataFrame(data, SCHEMA), "source_id", "start_ms", "end_ms").collect()}
     assert {(*k, *p) for k, ps in newest.items() for p in ps} == want
+
+
+def test_stream_gives_the_same_gaps(spark, tmp_path):
+    data = made(7)
+    for i in range(4):
+        spark.createDataFrame(data[i::4], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("a", 8 * HOUR), ("b", None), ("hot", 20 * HOUR), ("silent", 50)], "source_id string, duration_ms bigint")
+    cells = newest(stream_gaps(stream, "source_id", "start_ms", "end_ms"), "test-gaps")
+    want = {tuple(r) for r in intervals.uncovered(spark.createDataFrame(data, SCHEMA), known).collect()}
+    assert {tuple(r) for r in intervals.up_to_durations(cells, known).collect()} == want
