@@ -11,6 +11,8 @@ ALWAYS_ACCEPTED = ("ko", "en", "ja")
 # Marks of a failed sign-in and of an exhausted quota in a process's output.
 SIGN_IN_MARKS = ("not logged", "authentication", "unauthorized", "401")
 QUOTA_MARKS = ("429", "rate limit", "usage limit")
+# Marks of a quota that is spent for good.
+SPENT_MARKS = ("usage limit", "quota")
 # Names of origins in documents.
 ORIGINS = {"source": "Source", "ai_explanation": "AI Explanation", "external_research": "External Research"}
 
@@ -94,6 +96,23 @@ def outcome(stderr: Column, stdout: Column) -> Column:
     return F.when(said.rlike("|".join(SIGN_IN_MARKS)), "auth").when(said.rlike("|".join(QUOTA_MARKS)), "rate_limit").otherwise("error")
 
 
+def retry_decision(error: Column, attempts: Column) -> Column:
+    """What becomes of a job that failed with an error: ``blocked_auth`` where a sign-in is missing, ``failed_runtime`` on a spent quota or the second attempt, else ``retry``."""
+    said = F.lower(error)
+    return F.when(said.rlike("|".join(SIGN_IN_MARKS)), "blocked_auth").when(said.rlike("|".join(SPENT_MARKS)) | (attempts >= 2), "failed_runtime").otherwise("retry")
+
+
+def utc_text(at: Column) -> Column:
+    """A time as text, in UTC, with microseconds: ``2025-01-01T00:00:00.000000+00:00``."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object in a text, code fences removed, or null where there is none: an array, a scalar or no JSON."""
+    body = unfenced(text)
+    return F.when(F.coalesce(F.is_variant_null(F.try_parse_json(body)), F.lit(True)), None).when(body.startswith("{"), body)
+
+
 def unfenced(text: Column) -> Column:
     """Text without a surrounding code fence."""
     return F.trim(F.regexp_replace(F.trim(text), r"^```[a-zA-Z0-9_-]*\s*|\s*```\z", ""))

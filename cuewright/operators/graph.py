@@ -32,28 +32,28 @@ def dependency_results(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(done, "depends_on").select("job_id", "depends_on", "result")
 
 
-def reached(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None, most_steps: int = 10_000) -> DataFrame:
+def reached(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """All that follows from ``roots`` (one column ``job_id``) along ``edges`` (``depends_on`` -> ``job_id``), roots left out.
 
-    Semi-naive: each step extends only by what the last one found, and is written so that lineage stays short. The number
-    of steps is the longest path. ``through`` limits what may be reached (and passed).
+    Steps double: what is within 2^k edges of a root, and edges that span exactly 2^k, give what is within twice that. A
+    path of n takes log2(n) rounds, and rounds end only when one finds nothing new. Each is written so that lineage stays
+    short. ``through`` limits what may be reached (and passed).
     """
     edges = edges.where("job_id IS NOT NULL AND depends_on IS NOT NULL").select("job_id", "depends_on").distinct()
     if through is not None:
         edges = edges.join(through.select("job_id"), "job_id", "left_semi")
-    edges = stage(edges, "edges")
-    seen = front = stage(roots.select("job_id").distinct(), "reached")
-    found: list[DataFrame] = []
-    for _ in range(most_steps):
-        front = stage(edges.join(front.withColumnRenamed("job_id", "depends_on"), "depends_on", "left_semi").select("job_id").distinct().join(seen, "job_id", "left_anti"), "reached")
-        if front.isEmpty():
-            break
-        found.append(front)
-        seen = seen.unionByName(front)
-    out = roots.select("job_id").where("false")
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    spans = stage(edges, "edges")
+    roots = roots.where("job_id IS NOT NULL").select("job_id").distinct()
+    seen, n = stage(roots, "reached"), -1
+    while True:
+        step = spans.join(seen.withColumnRenamed("job_id", "depends_on"), "depends_on", "left_semi").select("job_id")
+        seen = stage(seen.unionByName(step).distinct(), "reached")
+        n, before = seen.count(), n
+        if n == before:
+            return seen.join(roots, "job_id", "left_anti")
+        a, b = spans.alias("a"), spans.alias("b")
+        twice = a.join(b, F.col("a.job_id") == F.col("b.depends_on")).select(F.col("b.job_id").alias("job_id"), F.col("a.depends_on").alias("depends_on"))
+        spans = stage(twice.distinct(), "edges")
 
 
 def blocked(jobs: DataFrame, edges: DataFrame, failed: tuple[str, ...] = ("failed", "blocked_auth", "failed_runtime")) -> DataFrame:
@@ -63,10 +63,22 @@ def blocked(jobs: DataFrame, edges: DataFrame, failed: tuple[str, ...] = ("faile
 
 def newest(rows: DataFrame, key: str, at: str, tie: str, keep: list[str]) -> DataFrame:
     """Of each key the row latest in ``at``, of equals the largest ``tie``. Combined before the shuffle."""
-    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(at, tie, *[k for k in keep if k not in (at, tie)])).alias("t"))
+    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*dict.fromkeys([at, tie, *keep]))).alias("t"))
     return top.select(key, *[F.col("t").getField(k).alias(k) for k in dict.fromkeys([at, tie, *keep])])
 
 
+def newest_first(rows: DataFrame, at: str, tie: str, limit: int) -> DataFrame:
+    """The ``limit`` rows latest in ``at``, of equals the least ``tie`` first: adds ``place`` from 1."""
+    top = rows.orderBy(F.col(at).desc(), tie).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col(at).desc(), tie)))  # limit rows
+
+
+def map_names(rows: DataFrame, key: str, maps: str) -> DataFrame:
+    """All names in the maps of each key, sorted: ``key, names``. Each name is one before anything is shuffled."""
+    each = rows.select(key, F.explode(F.map_keys(maps)).alias("name")).distinct()
+    return each.groupBy(key).agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows of both tables with each key once: the one latest in ``at``, of equals the new one."""
     columns = [c for c in old.columns if c not in keys]

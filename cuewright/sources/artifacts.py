@@ -50,4 +50,4 @@ def media_identity(spark: SparkSession, folder: str, suffixes: tuple[str, ...])
     """Local media under a folder: ``source_id, path``; the id comes from the bytes, so copies share it. A file is one row, so size bounds what this is for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).isin(*suffixes)
-    return files.where(wanted).select(F.concat(F.lit("local:"), F.substring(F.sha2("content", 256), 1, 24)).alias("source_id"), "path")
+    return files.where(wanted).select(F.concat(F.lit("local:"), F.sha2("content", 256)).alias("source_id"), "path")

@@ -54,7 +54,7 @@ def test_media_identity(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     got = artifacts.media_identity(spark, str(tmp_path), (".mp3",)).collect()
-    assert len(got) == 2 and len({r.source_id for r in got}) == 1
+    assert len(got) == 2 and len({r.source_id for r in got}) == 1 and len(got[0].source_id) == len("local:") + 64
 
 
 def test_latest_is_decided_by_all_kept_columns(spark):
