@@ -39,6 +39,18 @@ def looks_like_media(value: Column) -> Column:
     return ~value.rlike("^(?i:https?):") & suffix.isin(*MEDIA_SUFFIXES)
 
 
+def source_identity(value: Column, digest: Column) -> Column:
+    """What an address or a path stands for: ``struct<kind, source_id, canonical_url>``, all null where it is neither a video's address nor a media file.
+
+    ``digest`` is that of the file's bytes.
+    """
+    vid = video_id(value)
+    media = looks_like_media(value)
+    kind = F.when(vid.isNotNull(), "youtube").when(media, "local_media")
+    name = F.when(vid.isNotNull(), F.concat(F.lit("youtube:"), vid)).when(media, F.concat(F.lit("local:"), digest))
+    return F.struct(kind.alias("kind"), name.alias("source_id"), canonical_url(vid).alias("canonical_url"))
+
+
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON with keys in alphabetical order and nulls kept. Control characters below a blank are dropped from text beforehand by callers."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -162,8 +162,12 @@ def matched(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(choose, PAIRS)
 
 
-def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Per source: ``claims, matched, recall, evidence_coverage, timestamp_accuracy, quarters``; shares of its claims, quarters of four."""
+def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame, points: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    """Per source: ``claims, matched, recall, evidence_coverage, timestamp_accuracy, quarters``; shares of its claims, quarters of four.
+
+    With ``points`` also ``unsupported``, those that match no claim, and with ``outputs`` (``source_id, overview``)
+    ``structure``: 1 where there is an overview and at least one point, else 0.
+    """
     n = claims.groupBy("source_id").agg(F.count("*").alias("claims"))
     rows = join_one(matches, lengths.select("source_id", "duration_ms"), "source_id", "claim_id")
     found = rows.groupBy("source_id").agg(
@@ -173,4 +177,20 @@ def scores(claims: DataFrame, matches: DataFrame, lengths: DataFrame) -> DataFra
         F.count_distinct(F.when(F.col("timestamp_ms").isNotNull(), quarter(F.col("timestamp_ms"), F.coalesce("duration_ms", F.lit(1))))).alias("q"),
     )
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("claims")
-    return n.join(found, "source_id", "left").select("source_id", "claims", F.coalesce("matched", F.lit(0)).alias("matched"), share("matched").alias("recall"), share("e").alias("evidence_coverage"), share("t").alias("timestamp_accuracy"), (F.coalesce("q", F.lit(0)) / 4).alias("quarters"))
+    both = n.join(found, "source_id", "left")
+    columns = ["source_id", "claims", F.coalesce("matched", F.lit(0)).alias("matched"), share("matched").alias("recall"), share("e").alias("evidence_coverage"), share("t").alias("timestamp_accuracy"), (F.coalesce("q", F.lit(0)) / 4).alias("quarters")]
+    if points is not None:
+        both = both.join(points.groupBy("source_id").agg(F.count("*").alias("_points")), "source_id", "left")
+        columns.append((F.coalesce("_points", F.lit(0)) - F.coalesce("matched", F.lit(0))).alias("unsupported"))
+        if outputs is not None:
+            both = both.join(outputs.where("source_id IS NOT NULL").groupBy("source_id").agg(F.max("overview").alias("_overview")), "source_id", "left")
+            columns.append(F.when(F.col("_overview").isNotNull() & (F.col("_points") > 0), 1.0).otherwise(0.0).alias("structure"))
+    return both.select(*columns)
+
+
+def report(scores_: DataFrame, name: str = "source_id") -> DataFrame:
+    """Scores as the lines of a Markdown table, each source's line by its own: ``name, line``. Numbers have three digits."""
+    rest = [c for c in scores_.columns if c != name]
+    number = lambda c, kind: F.format_number(F.col(c), 3) if kind == "double" else F.col(c).cast("string")
+    kinds = dict(scores_.dtypes)
+    return scores_.select(name, F.concat(F.lit("| "), F.concat_ws(" | ", F.col(name), *[F.coalesce(number(c, kinds[c]), F.lit("–")) for c in rest]), F.lit(" |")).alias("line"))

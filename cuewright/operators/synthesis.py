@@ -70,6 +70,12 @@ def repaired_overview(answer: Column) -> Column:
     return first_filled(body["overview"], body["summary"], body["description"], body["text"])
 
 
+def repaired_list(answer: Column, name: str) -> Column:
+    """A list of a JSON answer as texts; what is no list is an empty one, null stays for no answer."""
+    found = F.try_variant_get(F.try_parse_json(answer), f"$.{name}", "array<string>")
+    return F.when(answer.isNotNull(), F.coalesce(found, F.expr("CAST(array() AS array<string>)")))
+
+
 def topic_requests(topic_cues: DataFrame, cues: DataFrame) -> DataFrame:
     """The text of each topic, its cues in order: ``source_id, topic_id, text``. A topic's length bounds what is collected."""
     each = topic_cues.select("source_id", "topic_id", F.explode("seg_indexes").alias("seg_idx")).join(cues.select("source_id", "seg_idx", "text"), ["source_id", "seg_idx"])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.plans import document_queries, interval_queries, queue_queries, relation_queries, transcript_queries
+from cuewright.plans import document_queries, interval_queries, pack_queries, queue_queries, relation_queries, transcript_queries
 
-MODULES = (interval_queries, transcript_queries, relation_queries, queue_queries, document_queries)
+MODULES = (interval_queries, transcript_queries, relation_queries, queue_queries, document_queries, pack_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

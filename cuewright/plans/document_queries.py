@@ -99,16 +99,16 @@ def _written(spark: SparkSession, folder: str) -> DataFrame:
     """Cues as captions show them, by (source, hour) so that no recording becomes one text."""
     cues = quality.usable_cues(table(spark, folder, "segments"), table(spark, folder, "transcripts"))
     body = tx.clean_text(tx.strip_tags(F.col("text")))
-    return cues.select(F.concat("source_id", F.lit("#"), cell(F.col("start_ms"), CELL_MS)).alias("source_id"), "seg_idx", "start_ms", "end_ms", body.alias("text")).where("text <> '' AND NOT text LIKE '%-->%'")
+    return cues.select(F.concat("source_id", F.lit("#"), cell(F.col("start_ms"), CELL_MS)).alias("source_id"), "seg_idx", "start_ms", "end_ms", body.alias("text")).where("text <> ''")
 
 
 def vtt_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Cues written as WebVTT and read again."""
+    """Cues written as WebVTT, where an arrow in a text has to be written as an entity, and read again."""
     code = lambda c: F.format_string("%02d:%02d:%02d.%03d", F.floor(F.col(c) / 3_600_000), F.floor(F.col(c) / 60_000) % 60, F.floor(F.col(c) / 1000) % 60, F.col(c) % 1000)
-    block = F.concat(code("start_ms"), F.lit(" --> "), code("end_ms"), F.lit("\n"), F.col("text"))
+    block = F.concat(code("start_ms"), F.lit(" --> "), code("end_ms"), F.lit("\n"), F.replace(F.col("text"), F.lit("-->"), F.lit("--&gt;")))
     files = _written(spark, folder).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("start_ms", "seg_idx", block.alias("b")))).alias("l"))
     files = files.select("source_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("l", lambda x: x["b"]), "\n\n")).alias("data"))
-    return captions.vtt_cues(files).select(F.substring_index("source_id", "#", 1).alias("source_id"), "start_ms", "end_ms", "text")
+    return captions.vtt_cues(files).select(F.substring_index("source_id", "#", 1).alias("source_id"), "start_ms", "end_ms", F.replace("text", F.lit("--&gt;"), F.lit("-->")).alias("text"))
 
 
 def json3_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,11 +189,13 @@ def retention_private(spark: SparkSession, folder: str) -> DataFrame:
 
 def claim_scores(spark: SparkSession, folder: str) -> DataFrame:
     """How well the evidence states the reference claims of its source."""
-    claims = table(spark, folder, "reference_claims").where("source_id IS NOT NULL").withColumn("tolerance_ms", F.coalesce("tolerance_ms", F.lit(30_000)))
-    claims = claims.dropDuplicates(["claim_id"])
+    rows = table(spark, folder, "reference_claims").where("source_id IS NOT NULL").withColumn("tolerance_ms", F.coalesce("tolerance_ms", F.lit(30_000)))
+    columns = ["source_id", "text", "evidence", "timestamp_ms", "tolerance_ms"]
+    claims = rows.groupBy("claim_id").agg(F.min(F.struct(*columns)).alias("c")).select("claim_id", "c.*")
     points = _claims(spark, folder).where("source_id IS NOT NULL").select("source_id", F.col("evidence_id").alias("point_id"), "text", F.col("start_ms").alias("timestamp_ms"))
     matches = stage(scoring.matched(scoring.candidate_pairs(claims, points)), "matches")
-    return scoring.scores(claims, matches, valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms"]))
+    known = valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms", "title"])
+    return scoring.scores(claims, matches, known, points, known.select("source_id", F.col("title").alias("overview")))
 
 
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +240,7 @@ _WRITTEN = f"""
     w AS (SELECT source_id, start_ms, end_ms, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '{tx.SPACE}+', ' ', 'g')) AS text FROM (
           SELECT s.*, row_number() OVER (PARTITION BY s.source_id, seg_idx ORDER BY start_ms, end_ms, text NULLS FIRST, speaker NULLS FIRST) AS k
           FROM segments s SEMI JOIN (SELECT source_id FROM transcripts) t ON t.source_id = s.source_id WHERE seg_idx IS NOT NULL AND start_ms >= 0 AND end_ms > start_ms) WHERE k = 1)
-    SELECT source_id, start_ms, end_ms, text FROM w WHERE text <> '' AND NOT text LIKE '%-->%'
+    SELECT source_id, start_ms, end_ms, text FROM w WHERE text <> ''
 """
 _CLAIMS = """
     cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY source_id NULLS FIRST, topic_id NULLS FIRST, claim_no NULLS FIRST, text NULLS FIRST, start_ms NULLS FIRST, end_ms NULLS FIRST, provenance NULLS FIRST) AS k FROM evidence WHERE evidence_id IS NOT NULL)
@@ -260,15 +262,16 @@ _OBJECTS = """
     o AS (SELECT digest, max(created_at) AS m, max(size) AS size FROM d GROUP BY 1),
     x AS (SELECT DISTINCT source_id FROM sources WHERE kind = 'local_media')
 """
-SQL: dict[str, str] = {
-    "url_identity": rf"""
+_URLS_SQL = rf"""
         WITH u AS (SELECT DISTINCT canonical_url, lower(regexp_extract(trim(canonical_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(trim(canonical_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM sources WHERE canonical_url IS NOT NULL),
         v AS (SELECT *, CASE WHEN host IN ({_SHORT}) THEN regexp_extract(path, '^/+([^/]+)', 1) WHEN host IN ({_HOSTS}) AND path = '/watch' THEN regexp_extract(trim(canonical_url), '^[^#]*[?&]v=([^&#]*)', 1)
               WHEN host IN ({_HOSTS}) THEN regexp_extract(path, '^/+(?:shorts|embed)/([^/]+)/*$', 1) END AS f FROM u),
         w AS (SELECT *, CASE WHEN regexp_matches(trim(canonical_url), '^(?i:https?)://') AND regexp_matches(f, '^[A-Za-z0-9_-]{{11}}$') THEN f END AS video_id FROM v)
         SELECT canonical_url, host, video_id, 'https://www.youtube.com/watch?v=' || video_id AS canonical,
                NOT regexp_matches(canonical_url, '^(?i:https?):') AND lower(regexp_extract(canonical_url, '[^/\\](\.[^./\\]+)$', 1)) IN ({_MEDIA}) AS is_media FROM w
-    """,
+"""
+SQL: dict[str, str] = {
+    "url_identity": _URLS_SQL,
     "source_identities": """
         WITH g AS (SELECT source_id, count(*) AS rows, min(kind) AS kind, min(video_id) AS video_id, min(canonical_url) AS url, min(local_path) AS path FROM sources WHERE source_id IS NOT NULL GROUP BY 1)
         SELECT *, (kind = 'youtube' AND coalesce(video_id, '') <> '') OR (kind = 'local_media' AND coalesce(path, '') <> '') AS complete FROM g
