@@ -121,21 +121,43 @@ def report(cues: DataFrame, length: DataFrame) -> DataFrame:
     return both.select("source_id", (F.size(reasons) == 0).alias("accepted"), share.alias("coverage"), "gap_ms", reasons.alias("reasons"))
 
 
-def resolved(candidates: DataFrame, wanted: str, checks: DataFrame | None = None) -> DataFrame:
-    """Of each source's candidates (``source_id, rank, provider, language, title``) the first that is acceptable.
+def offered(candidates: DataFrame, sources: DataFrame, include_optional: bool = False) -> DataFrame:
+    """Candidates (``source_id, scope, optional`` and more) that serve their source's kind (``source_id, kind``).
+
+    Local media take those of the scope ``local``, other sources those of ``remote``, the optional ones only if asked for.
+    A source without a kind counts as no local media.
+    """
+    kinds = sources.where("source_id IS NOT NULL").groupBy("source_id").agg(F.max(F.col("kind") == "local_media").alias("_local"))
+    both = candidates.join(kinds, "source_id", "left")
+    local = F.coalesce("_local", F.lit(False))
+    wanted = F.when(local, F.col("scope") == "local").otherwise((F.col("scope") == "remote") & (F.lit(include_optional) | ~F.coalesce("optional", F.lit(False))))
+    return both.where(wanted).drop("_local")
 
-    ``checks`` may give ``source_id, rank, accepted``. Returns ``source_id, provider, language, title, attempts``: a
-    missing title is taken from the nearest earlier candidate with one, ``attempts`` lists those rejected before it with
-    their reason. All candidates are judged, where a caller would stop at the first.
+
+def resolved(candidates: DataFrame, wanted: str, checks: DataFrame | None = None) -> DataFrame:
+    """Of each source's candidates (``source_id, rank, provider, language, title``, if known ``chapters``) the first that is acceptable.
+
+    ``checks`` gives of each source, or of each ``source_id, rank``, whether its cues are ``disordered`` as delivered and the
+    ``reasons`` against them once cleaned; one without a row has none. A candidate is rejected for the first that holds:
+    no language (``not_available``), another language (``language_mismatch``), the order as delivered, any other reason.
+    Returns ``source_id, provider, language, title, chapters, attempts``: a missing or empty title or list of chapters is
+    taken from the earliest candidate before it with one; ``attempts`` lists those rejected before it with all their
+    reasons. A source without an acceptable candidate has a null provider. All candidates are judged, where a caller would
+    stop at the first.
     """
-    rows = candidates if checks is None else candidates.join(checks, ["source_id", "rank"], "left")
-    accepted = F.lit(True) if checks is None else F.coalesce("accepted", F.lit(False))
-    why = F.when(F.col("language").isNull(), "missing").when(~language_accepted(F.col("language"), F.lit(wanted)), "language").when(~accepted, "quality")
+    rows = candidates if "chapters" in candidates.columns else candidates.withColumn("chapters", F.lit(None).cast("array<string>"))
+    if checks is not None:
+        rows = rows.join(checks, ["source_id", "rank"] if "rank" in checks.columns else ["source_id"], "left")
+    one = lambda r: F.array(F.lit(r))
+    why = F.when(F.col("language").isNull(), one("not_available")).when(~language_accepted(F.col("language"), F.lit(wanted)), one("language_mismatch"))
+    if checks is not None:
+        why = why.when(F.coalesce("disordered", F.lit(False)), one(REASONS[0])).when(F.coalesce(F.size("reasons"), F.lit(0)) > 0, F.col("reasons"))
     by = Window.partitionBy("source_id").orderBy("rank", "provider", "language", "title")  # a source has few candidates
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_why", why).withColumn("_first", F.first("title", ignorenulls=True).over(upto)).withColumn("_accepted", F.sum(F.col("_why").isNull().cast("int")).over(upto))
+    title, chapters = F.nullif(F.col("title"), F.lit("")), F.when(F.size("chapters") > 0, F.col("chapters"))
+    seen = rows.withColumn("_why", why).withColumns({"_title": F.first(title, ignorenulls=True).over(upto), "_chapters": F.first(chapters, ignorenulls=True).over(upto), "_accepted": F.sum(F.col("_why").isNull().cast("int")).over(upto)})
     before = seen.where((F.col("_accepted") == 0) | ((F.col("_accepted") == 1) & F.col("_why").isNull()))
-    tried = F.when(F.col("_why").isNotNull(), F.struct("rank", "provider", F.col("_why").alias("reason")))
-    return before.groupBy("source_id").agg(
-        F.max(F.when(F.col("_why").isNull(), F.struct("provider", "language", F.coalesce("title", "_first").alias("title")))).alias("w"), F.sort_array(F.collect_list(tried)).alias("attempts")
-    ).where("w IS NOT NULL").select("source_id", "w.provider", "w.language", "w.title", "attempts")
+    tried = F.when(F.col("_why").isNotNull(), F.struct("rank", "provider", F.col("_why").alias("reasons")))
+    won = F.struct("provider", "language", F.coalesce(title, "_title").alias("title"), F.coalesce(chapters, "_chapters").alias("chapters"))
+    made = before.groupBy("source_id").agg(F.max(F.when(F.col("_why").isNull(), won)).alias("w"), F.sort_array(F.collect_list(tried)).alias("attempts"))
+    return made.select("source_id", "w.provider", "w.language", "w.title", "w.chapters", "attempts")

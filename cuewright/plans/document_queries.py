@@ -10,7 +10,7 @@ from cuewright.functions import identity, text as tx
 from cuewright.operators import documents as docs, graph, quality, retention, scoring, segmentation, synthesis
 from cuewright.operators.ordered import CELL_MS, cell
 from cuewright.sources import artifacts, captions
-from cuewright.sources.tables import table, valid_chapters, valid_transcripts
+from cuewright.sources.tables import latest, table, valid_chapters, valid_transcripts
 from cuewright.staging import stage
 from cuewright.streaming.sessions import sessions as session_windows
 
@@ -194,8 +194,9 @@ def claim_scores(spark: SparkSession, folder: str) -> DataFrame:
     claims = rows.groupBy("claim_id").agg(F.min(F.struct(*columns)).alias("c")).select("claim_id", "c.*")
     points = _claims(spark, folder).where("source_id IS NOT NULL").select("source_id", F.col("evidence_id").alias("point_id"), "text", F.col("start_ms").alias("timestamp_ms"))
     matches = stage(scoring.matched(scoring.candidate_pairs(claims, points)), "matches")
-    known = valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms", "title"])
-    return scoring.scores(claims, matches, known, points, known.select("source_id", F.col("title").alias("overview")))
+    transcripts = table(spark, folder, "transcripts")
+    titles = latest(transcripts, ["source_id"], "ingested_at", ["title"]).withColumnRenamed("title", "overview") if "title" in transcripts.columns else None
+    return scoring.scores(claims, matches, valid_transcripts(transcripts, ["duration_ms"]), points, titles)
 
 
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,18 +48,40 @@ def validation_report(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("source_id", "accepted", "coverage", "gap_ms", F.array_join("reasons", ",").alias("reasons"))
 
 
-# Where transcripts come from, in the order they are preferred.
+# Where transcripts come from, in the order they are preferred; those that local media have, and that must be asked for.
 PROVIDERS = ("manual_subtitle", "transcript_api", "auto_subtitle", "user_provided", "whisper")
+LOCAL, OPTIONAL = ("user_provided", "whisper"), ("whisper",)
 
 
-def provider_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """Every delivered transcript is a candidate of its source, ranked by where it comes from and then by its time."""
+def _fallback(spark: SparkSession, folder: str, include_optional: bool) -> DataFrame:
+    """Every delivered transcript is a candidate of its source, ranked by where it comes from and then by its time; its quality is that of the source's cues."""
     rows = table(spark, folder, "transcripts").where("source_id IS NOT NULL")
+    sources = table(spark, folder, "sources")
+    local = sources.where("kind = 'local_media' AND source_id IS NOT NULL").select("source_id").distinct().withColumn("_l", F.lit(True))
     order = F.coalesce(*[F.when(F.col("provenance") == p, F.lit(k)) for k, p in enumerate(PROVIDERS)], F.lit(len(PROVIDERS)))
     by = Window.partitionBy("source_id").orderBy(order, "ingested_at", "provenance", "language", "title", "duration_ms")  # a source's deliveries
-    ranked = rows.select("source_id", F.row_number().over(by).alias("rank"), F.col("provenance").alias("provider"), F.nullif(F.trim("language"), F.lit("")).alias("language"), "title")
-    found = quality.resolved(ranked, "en")
-    return found.select("source_id", "provider", "language", "title", F.array_join(F.transform("attempts", lambda a: F.concat(a["provider"], F.lit(":"), a["reason"])), ",").alias("attempts"))
+    scope = F.when(F.col("_l") & F.col("provenance").isin(*LOCAL), "local").otherwise("remote")
+    listed = F.when(F.col("provenance").isin("manual_subtitle", "transcript_api"), F.array(F.concat("source_id", F.lit("/"), "provenance")))
+    ranked = rows.join(local, "source_id", "left").select(
+        "source_id", F.row_number().over(by).alias("rank"), F.col("provenance").alias("provider"), scope.alias("scope"), F.col("provenance").isin(*OPTIONAL).alias("optional"), F.nullif(F.trim("language"), F.lit("")).alias("language"), "title", listed.alias("chapters")
+    )
+    cues = _cues(spark, folder)
+    lengths = quality.durations(cues, _transcripts(spark, folder))
+    clean = stage(quality.normalized(cues), "normalized")
+    judged = quality.report(clean, quality.durations(clean, _transcripts(spark, folder))).select("source_id", F.filter("reasons", lambda r: r != quality.REASONS[0]).alias("reasons"))
+    checks = quality.out_of_order(cues).join(judged, "source_id", "full").join(lengths.select("source_id"), "source_id", "left_semi")
+    return quality.resolved(quality.offered(ranked, sources, include_optional), "en", checks)
+
+
+def provider_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The transcript of each source that is taken, and why those before it were not."""
+    said = lambda a: F.concat(a["provider"], F.lit(":"), F.array_join(a["reasons"], "+"))
+    return _fallback(spark, folder, False).select("source_id", "provider", "language", "title", F.array_join("chapters", ",").alias("chapters"), F.array_join(F.transform("attempts", said), ",").alias("attempts"))
+
+
+def provider_fallback_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the optional providers."""
+    return _fallback(spark, folder, True).select("source_id", "provider", "language", "title")
 
 
 def language_choice(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +126,7 @@ def chapter_cues(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (cue_normalize, source_coverage, largest_gaps, repetition_share, monotonic_check, validation_report, provider_fallback, language_choice, language_bases, chapter_coalesce, topic_boundaries, topic_assignment, chapter_cues)
+    for f in (cue_normalize, source_coverage, largest_gaps, repetition_share, monotonic_check, validation_report, provider_fallback, provider_fallback_all, language_choice, language_bases, chapter_coalesce, topic_boundaries, topic_assignment, chapter_cues)
 }
 
 _TR = """
@@ -173,6 +195,28 @@ _TOPICS = """,
            pos, cs, s AS start_ms, z AS end_ms FROM w WHERE pos > 0)
 """
 _P = ", ".join(f"WHEN '{p}' THEN {k}" for k, p in enumerate(PROVIDERS)).replace(",", "")
+_RESOLVED = (
+    f"WITH {_NORMAL},"
+    + """
+    nd AS (SELECT tr.source_id, greatest(duration_ms, e) AS duration_ms FROM tr LEFT JOIN (SELECT source_id, max(end_ms) AS e FROM norm GROUP BY 1) USING (source_id) WHERE greatest(duration_ms, e) > 0),
+    oo AS (SELECT source_id, coalesce(bool_or(start_ms < p), false) AS a FROM (SELECT source_id, start_ms, lag(start_ms) OVER (PARTITION BY source_id ORDER BY seg_idx) AS p FROM u) GROUP BY 1),
+    q AS (SELECT source_id, sum(greatest(0, end_ms - greatest(start_ms, coalesce(r, start_ms)))) AS c FROM (SELECT *, max(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, end_ms, seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM norm) GROUP BY 1),
+    g AS (SELECT source_id, max(start_ms - coalesce(p, 0)) AS i, arg_max(end_ms, (start_ms, seg_idx)) AS l FROM (SELECT *, lag(end_ms) OVER (PARTITION BY source_id ORDER BY start_ms, seg_idx) AS p FROM norm) GROUP BY 1),
+    rp AS (SELECT source_id, sum(n) AS n, max(n) AS m FROM (SELECT source_id, count(*) AS n FROM norm WHERE trim(text) <> '' GROUP BY source_id, replace(lower(trim(text)), 'ß', 'ss')) GROUP BY 1),
+    ck AS (SELECT dur.source_id, coalesce(a, false) AS a, concat_ws('+', CASE WHEN c / nd.duration_ms < CAST(0.6 AS DOUBLE) THEN 'coverage' END, CASE WHEN c IS NOT NULL AND n IS NULL THEN 'empty_text' END, CASE WHEN n >= 4 AND m / n > CAST(0.5 AS DOUBLE) THEN 'excessive_repetition' END,
+           CASE WHEN greatest(i, nd.duration_ms - l) > greatest(120000, round_even(nd.duration_ms * CAST(0.2 AS DOUBLE), 0)) THEN 'large_gap' END) AS r
+           FROM dur LEFT JOIN oo USING (source_id) LEFT JOIN nd USING (source_id) LEFT JOIN q USING (source_id) LEFT JOIN g USING (source_id) LEFT JOIN rp USING (source_id)),
+    lm AS (SELECT DISTINCT source_id FROM sources WHERE kind = 'local_media' AND source_id IS NOT NULL),
+    r0 AS (SELECT t.source_id, row_number() OVER (PARTITION BY t.source_id ORDER BY CASE provenance """
+    + f"{_P} ELSE {len(PROVIDERS)} END"
+    + """, ingested_at NULLS FIRST, provenance NULLS FIRST, language NULLS FIRST, title NULLS FIRST, duration_ms NULLS FIRST) AS rank, provenance AS provider, nullif(trim(language), '') AS language, nullif(title, '') AS title,
+           CASE WHEN provenance IN ('manual_subtitle', 'transcript_api') THEN t.source_id || '/' || provenance END AS chapters, t.source_id IN (SELECT source_id FROM lm) AS loc FROM transcripts t WHERE t.source_id IS NOT NULL),
+    r1 AS (SELECT *, CASE WHEN loc THEN CASE WHEN provider IN ('user_provided', 'whisper') THEN 'yes' ELSE 'no' END WHEN provider = 'whisper' THEN 'optional' ELSE 'yes' END AS s FROM r0),
+    v AS (SELECT r1.*, CASE WHEN language IS NULL THEN 'not_available' WHEN split_part(lower(language), '-', 1) NOT IN ('en', 'ko', 'ja') THEN 'language_mismatch' WHEN a THEN 'timestamps_not_monotonic' WHEN r <> '' THEN r END AS why FROM r1 LEFT JOIN ck USING (source_id) WHERE s <> 'no' AND {0}),
+    b AS (SELECT *, first_value(title IGNORE NULLS) OVER w AS t1, first_value(chapters IGNORE NULLS) OVER w AS c1, min(CASE WHEN why IS NULL THEN rank END) OVER (PARTITION BY source_id) AS win FROM v WINDOW w AS (PARTITION BY source_id ORDER BY rank)),
+    won AS (SELECT source_id, max(CASE WHEN rank = win THEN provider END) AS provider, max(CASE WHEN rank = win THEN language END) AS language, max(CASE WHEN rank = win THEN coalesce(title, t1) END) AS title, max(CASE WHEN rank = win THEN coalesce(chapters, c1) END) AS chapters,
+            coalesce(string_agg(provider || ':' || why, ',' ORDER BY rank) FILTER (win IS NULL OR rank < win), '') AS attempts FROM b GROUP BY 1)"""
+)
 SQL: dict[str, str] = {
     "cue_normalize": f"WITH {_NORMAL} SELECT * FROM norm",
     "source_coverage": f"WITH {_CUES}{_COVERED} SELECT * FROM cov",
@@ -186,14 +230,8 @@ SQL: dict[str, str] = {
         g AS (SELECT *, concat_ws(',', CASE WHEN a THEN 'timestamps_not_monotonic' END, CASE WHEN b THEN 'coverage' END, CASE WHEN c THEN 'empty_text' END, CASE WHEN d THEN 'excessive_repetition' END, CASE WHEN e THEN 'large_gap' END) AS reasons FROM f)
         SELECT source_id, reasons = '' AS accepted, coverage, gap_ms, reasons FROM g
     """,
-    "provider_fallback": f"""
-        WITH r AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY CASE provenance {_P} ELSE {len(PROVIDERS)} END, ingested_at NULLS FIRST, provenance NULLS FIRST, language NULLS FIRST, title NULLS FIRST, duration_ms NULLS FIRST) AS rank,
-                   provenance AS provider, nullif(trim(language), '') AS language, title FROM transcripts WHERE source_id IS NOT NULL),
-        v AS (SELECT *, CASE WHEN language IS NULL THEN 'missing' WHEN NOT (split_part(lower(language), '-', 1) IN ('en', 'ko', 'ja')) THEN 'language' END AS why FROM r),
-        b AS (SELECT *, first_value(title IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY rank) AS carried, min(CASE WHEN why IS NULL THEN rank END) OVER (PARTITION BY source_id) AS win FROM v)
-        SELECT source_id, max(CASE WHEN rank = win THEN provider END) AS provider, max(CASE WHEN rank = win THEN language END) AS language, max(CASE WHEN rank = win THEN coalesce(title, carried) END) AS title,
-               coalesce(string_agg(provider || ':' || why, ',' ORDER BY rank) FILTER (rank < win), '') AS attempts FROM b WHERE win IS NOT NULL GROUP BY 1
-    """,
+    "provider_fallback": _RESOLVED.replace("{0}", "s <> 'optional'") + " SELECT source_id, provider, language, title, chapters, attempts FROM won",
+    "provider_fallback_all": _RESOLVED.replace("{0}", "true") + " SELECT source_id, provider, language, title FROM won",
     "language_choice": """
         WITH t AS (SELECT source_id, epoch_us(ingested_at) AS ord, language, CASE WHEN provenance LIKE '%subtitle' THEN 'vtt' ELSE 'text' END AS ext,
                    CASE WHEN lower(language) = 'de-at' THEN 0 WHEN lower(language) = 'de' THEN 1 WHEN split_part(lower(language), '-', 1) = 'de' THEN 2 WHEN language = 'ko' THEN 3 WHEN language = 'en' THEN 4

@@ -17,6 +17,21 @@ class Settings:
     instructions: str = ""
 
 
+def _front_matter(head: str) -> dict[str, object]:
+    """The front matter as YAML where a parser is installed, else as ``name: value`` lines."""
+    try:
+        import yaml
+    except ImportError:
+        pairs = [line.partition(":") for line in head.splitlines() if line.strip() and not line.lstrip().startswith("#")]
+        if bad := [name for name, colon, _ in pairs if not colon]:
+            raise ValueError(f"no name and value: {bad[0].strip()}") from None
+        return {name.strip(): value.strip().strip("'\"") for name, _, value in pairs}
+    found = yaml.safe_load(head) or {}
+    if not isinstance(found, dict):
+        raise ValueError("the front matter has no names and values")
+    return found
+
+
 def parse(text: str) -> dict[str, str | int]:
     """The ``name: value`` lines between a pair of ``---`` lines at the start, and what follows as ``instructions``."""
     head, body = "", text
@@ -26,12 +41,10 @@ def parse(text: str) -> dict[str, str | int]:
             raise ValueError("the front matter isn't closed")
     known = {f.name: f.type for f in fields(Settings)}
     out: dict[str, str | int] = {}
-    for line in filter(str.strip, head.splitlines()):
-        name, colon, value = line.partition(":")
-        name, value = name.strip(), value.strip().strip("'\"")
-        if not colon or name not in known:
-            raise ValueError(f"unknown setting: {line.strip()}")
-        out[name] = int(value) if known[name] == "int" else value
+    for name, value in _front_matter(head).items():
+        if name not in known:
+            raise ValueError(f"unknown setting: {name}")
+        out[name] = int(value) if known[name] == "int" else str(value)
     if body.strip("- \n"):
         out["instructions"] = body.lstrip("-").strip()
     return out

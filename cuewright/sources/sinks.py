@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Paths that would leave their folder.
@@ -22,12 +23,14 @@ def write_table(documents: DataFrame, folder: str, by: str | None = None) -> Non
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """One file for each row of ``path, content`` under a folder that all executors share: ``path, bytes, error``.
 
-    A file appears complete or not at all, so a repeated task does no harm. Paths that leave the folder are refused with
+    The folder must be a mount of all executors: files go through the file system, not Spark's. A file appears complete or
+    not at all, under a name of the task's attempt before, so repeated and speculative tasks do no harm. Paths that leave the folder are refused with
     an error; of rows with one path the least content is written. Nothing happens before the result is read.
     """
     root = Path(folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        attempt = TaskContext.get().taskAttemptId()
         for b in batches:
             out = []
             for path, content, leaves in zip(b["path"].tolist(), b["content"].tolist(), b["leaves"].tolist()):
@@ -36,7 +39,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                     continue
                 at = root / path
                 at.parent.mkdir(parents=True, exist_ok=True)
-                part = at.with_name(f".{at.name}.{os.getpid()}.part")
+                part = at.with_name(f".{at.name}.{attempt}.part")
                 data = (content or "").encode()
                 part.write_bytes(data)
                 os.replace(part, at)

@@ -40,3 +40,16 @@ def summary(spans: DataFrame) -> DataFrame:
 def elapsed_ms(spans: DataFrame) -> DataFrame:
     """Wall time from the first start to the last end."""
     return spans.agg(((F.max("end_s") - F.min("start_s")) * 1000).alias("elapsed_ms"))
+
+
+def timeline(spans: DataFrame) -> DataFrame:
+    """Spans with ``after_ms``, when each began after the first, and ``took_ms``."""
+    first = spans.agg(F.min("start_s").alias("_first"))
+    both = spans.join(F.broadcast(first))  # one row
+    return both.select(*spans.columns, ((F.col("start_s") - F.col("_first")) * 1000).alias("after_ms"), ((F.col("end_s") - F.col("start_s")) * 1000).alias("took_ms"))
+
+
+def report(spans: DataFrame) -> DataFrame:
+    """A Markdown table of spans, a line a span, to be read in order of ``after_ms``: ``after_ms, line``."""
+    line = F.format_string("| %s | %.1f | %.1f | %s |", "name", "after_ms", "took_ms", "status")
+    return timeline(spans).select("after_ms", line.alias("line"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from cuewright.operators import quality
 
 SCHEMA = "source_id string, seg_idx int, start_ms bigint, end_ms bigint, text string, speaker string"
@@ -52,13 +54,29 @@ def test_checks(spark):
     assert reports(spark, [(0, 1000, "fine")], 1000).accepted
 
 
-def test_fallback_takes_the_first_acceptable_and_carries_a_title(spark):
-    data = [("s", 1, "auto", None, "T"), ("s", 2, "api", "fr", None), ("s", 3, "manual", "en-GB", None), ("s", 4, "late", "en", "U"), ("t", 1, "auto", None, None)]
-    got = quality.resolved(spark.createDataFrame(data, "source_id string, rank int, provider string, language string, title string"), "de").collect()
-    assert [(r.source_id, r.provider, r.title, [(a.provider, a.reason) for a in r.attempts]) for r in got] == [("s", "manual", "T", [("auto", "missing"), ("api", "language")])]
-    checks = spark.createDataFrame([("s", 3, False), ("s", 4, True)], "source_id string, rank int, accepted boolean")
-    got = quality.resolved(spark.createDataFrame(data, "source_id string, rank int, provider string, language string, title string"), "de", checks).first()
-    assert (got.provider, got.title, got.attempts[-1].reason) == ("late", "U", "quality")
+CANDIDATE = "source_id string, rank int, provider string, language string, title string, chapters array<string>"
+
+
+def test_fallback_takes_the_first_acceptable_and_carries_title_and_chapters(spark):
+    data = [("s", 1, "auto", None, "T", []), ("s", 2, "api", "fr", "", ["x"]), ("s", 3, "manual", "en-GB", None, None), ("s", 4, "late", "en", "U", ["y"]), ("t", 1, "auto", None, None, None)]
+    rows = spark.createDataFrame(data, CANDIDATE)
+    got = {r.source_id: r for r in quality.resolved(rows, "de").collect()}
+    assert (got["s"].provider, got["s"].title, got["s"].chapters, [(a.provider, a.reasons) for a in got["s"].attempts]) == ("manual", "T", ["x"], [("auto", ["not_available"]), ("api", ["language_mismatch"])])
+    assert got["t"].provider is None and [a.reasons for a in got["t"].attempts] == [["not_available"]]
+    checks = spark.createDataFrame([("s", 3, False, ["coverage", "large_gap"]), ("s", 4, False, [])], "source_id string, rank int, disordered boolean, reasons array<string>")
+    late = quality.resolved(rows, "de", checks).where("source_id = 's'").first()
+    assert (late.provider, late.title, late.chapters, late.attempts[-1].reasons) == ("late", "U", ["y"], ["coverage", "large_gap"])
+    disordered = checks.select("source_id", F.lit(True).alias("disordered"), "reasons").limit(1)
+    none = quality.resolved(rows.drop("chapters"), "de", disordered).where("source_id = 's'").first()
+    assert none.provider is None and none.attempts[-1].reasons == ["timestamps_not_monotonic"] and quality.resolved(rows.where("false"), "de", checks).count() == 0
+
+
+def test_providers_serve_a_kind_of_source(spark):
+    rows = [("v", "a", "remote", False), ("v", "b", "local", False), ("v", "c", "remote", True), ("m", "a", "remote", False), ("m", "b", "local", True), ("x", "a", "remote", None), (None, "a", "remote", False)]
+    offered = spark.createDataFrame(rows, "source_id string, provider string, scope string, optional boolean")
+    sources = spark.createDataFrame([("v", "youtube"), ("m", "local_media"), ("m", "local_media"), (None, "youtube")], "source_id string, kind string")
+    pick = lambda more: {(r.source_id, r.provider) for r in quality.offered(offered, sources, more).collect()}
+    assert pick(False) == {("v", "a"), ("m", "b"), ("x", "a"), (None, "a")} and pick(True) == pick(False) | {("v", "c")}
 
 
 def test_usable_cues(spark):
