@@ -59,6 +59,10 @@ def named_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(known, folded), F.try_element_at(known, base))
 
 
+#: Whether words count as speech, kept up to a bound.
+_COUNTS: dict[str, bool] = {}
+
+
 def spoken_words(text: str | None) -> list[str]:
     """The words of a cue without times, markup, sounds, hesitation and the names of speakers, folded to lower case."""
     if not text:
@@ -71,7 +75,21 @@ def spoken_words(text: str | None) -> list[str]:
         text = _SOUND.sub(" ", text)
         if ":" in text or "：" in text:
             text = _LABEL.sub(" ", text)
-    return [w[i : i + LONGEST] for w in _WORD.findall(text.lower()) if not PLAIN_HESITATION.fullmatch(w) for i in range(0, len(w), LONGEST)]
+    words = []
+    for w in _WORD.findall(text.lower()):
+        counts = _COUNTS.get(w)
+        if counts is None:
+            if len(_COUNTS) > 200_000:
+                _COUNTS.clear()
+            counts = PLAIN_HESITATION.fullmatch(w) is None
+            if len(w) <= LONGEST:
+                _COUNTS[w] = counts
+        if counts:
+            if len(w) <= LONGEST:
+                words.append(w)
+            else:
+                words += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return words
 
 
 def grams(word: str) -> list[str]:
@@ -206,24 +224,28 @@ def document_frequency(cues: DataFrame, features: list[str]) -> Frequency:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = known.value
         counts = np.zeros(len(place), np.int64)
+        held, n = np.zeros((128, len(place)), bool), 0  # of some cues at a time which n-grams they hold
         of_word: dict[str, np.ndarray] = {}
         texts = 0
         for b in batches:
             if len(of_word) > 200_000:
                 of_word.clear()
-            seen = []
             for text in b["text"].tolist():
-                here = []
-                for w in set(spoken_words(text)):
+                words = spoken_words(text)
+                if not words:
+                    continue
+                row = held[n]
+                for w in words:
                     at = of_word.get(w)
                     if at is None:
                         at = of_word[w] = np.array([k for g in grams(w) if (k := place.get(g)) is not None], np.int64)
-                    here.append(at)
-                if here:
-                    texts += 1
-                    seen.append(np.unique(np.concatenate(here)))
-            if seen:
-                counts += np.bincount(np.concatenate(seen), minlength=len(place))
+                    row[at] = True
+                texts += 1
+                n += 1
+                if n == len(held):
+                    counts += np.count_nonzero(held, axis=0)
+                    held[:], n = False, 0
+        counts += np.count_nonzero(held[:n], axis=0)
         some = np.nonzero(counts)[0]
         yield pd.DataFrame({"gram": np.append(some, -1), "n": np.append(counts[some], texts)})
 
