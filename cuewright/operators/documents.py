@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cuewright.functions.text import clock, provenance_label, safe_name
 from cuewright.operators.ordered import join_one
@@ -26,8 +26,12 @@ def digests(topics: DataFrame, chapters: DataFrame) -> DataFrame:
 def named_notes(notes: DataFrame) -> DataFrame:
     """A file name for each note of a source (``source_id, topic_id, title``): adds ``name``; later notes of one title get their id added."""
     base = notes.withColumn("_name", safe_name(F.col("title")))
-    by = Window.partitionBy("source_id", "_name").orderBy("topic_id")
-    return base.withColumn("name", F.when(F.row_number().over(by) == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("-"), safe_name(F.col("topic_id"))))).drop("_name")
+    first = base.groupBy("source_id", "_name").agg(F.min("topic_id").alias("_first"))  # combined before the shuffle, where a window would gather all notes of a title
+    same = F.struct("source_id", "_name")
+    keyed = base.withColumn("_key", F.to_json(same))
+    both = join_one(keyed, first.select(F.to_json(same).alias("_key"), "_first"), "_key", "topic_id")
+    own = F.concat("_name", F.lit("-"), safe_name(F.col("topic_id")))
+    return both.withColumn("name", F.when(F.col("topic_id") == F.col("_first"), F.col("_name")).otherwise(own)).drop("_name", "_first", "_key")
 
 
 def vault(notes: DataFrame, urls: DataFrame) -> DataFrame:

@@ -55,22 +55,55 @@ def pause_and_sentence(text: Column, pause: Column) -> Column:
     return F.when(F.rtrim(text).rlike(r"[.?!]\z"), SENTENCE).otherwise(0) + F.least(F.lit(MOST_PAUSE), F.greatest(F.lit(0), pause))
 
 
-def walk(start: int, end: int, target_ms: int, maximum_ms: int, ends: list[int], scores: list[int]) -> list[int]:
-    """Ends of the topics of one chapter; ``ends`` are sorted ends of cues with their ``scores``.
+class Walk:
+    """Cuts one chapter into topics while its cues' ends arrive in order.
 
     Each topic ends at the best-scored cue's end near its target, else at the target. A rest shorter than half a target
-    joins the last topic, unless that exceeds the maximum.
+    joins the last topic, unless that exceeds the maximum. Only ends that the next topic may still reach are kept.
     """
-    if end - start <= maximum_ms:
-        return [end]
-    stops = [start]
-    while (at := stops[-1]) < end:
-        ideal, furthest = min(end, at + target_ms), min(end, at + maximum_ms)
-        near = range(bisect_left(ends, max(at + 1, ideal - RADIUS_MS)), bisect_right(ends, min(furthest, ideal + RADIUS_MS)))
-        best = max(near, key=lambda k: (scores[k] - abs(ends[k] - ideal) * PER_MS, ends[k]), default=None)
-        stop = ideal if best is None else ends[best]
-        stops.append(min(end if end - stop < target_ms // 2 else stop, at + maximum_ms))
-    return stops[1:]
+
+    def __init__(self, start: int, end: int, target_ms: int, maximum_ms: int) -> None:
+        self.end, self.target, self.maximum = end, target_ms, maximum_ms
+        self.stops = [start]
+        self.ends: list[int] = []
+        self.scores: list[int] = []
+        if end - start <= maximum_ms:
+            self.stops.append(end)
+
+    def _reach(self) -> int:
+        """Up to where ends decide the next stop."""
+        ideal, furthest = min(self.end, self.stops[-1] + self.target), min(self.end, self.stops[-1] + self.maximum)
+        return min(furthest, ideal + RADIUS_MS)
+
+    def mark(self, end: int, score: int) -> None:
+        while self.stops[-1] < self.end and end > self._reach():
+            self._step()
+        self.ends.append(end)
+        self.scores.append(score)
+
+    def _step(self) -> None:
+        at = self.stops[-1]
+        ideal = min(self.end, at + self.target)
+        near = range(bisect_left(self.ends, max(at + 1, ideal - RADIUS_MS)), bisect_right(self.ends, self._reach()))
+        best = max(near, key=lambda k: (self.scores[k] - abs(self.ends[k] - ideal) * PER_MS, self.ends[k]), default=None)
+        stop = ideal if best is None else self.ends[best]
+        stop = min(self.end if self.end - stop < self.target // 2 else stop, at + self.maximum)
+        self.stops.append(stop)
+        k = bisect_right(self.ends, stop)
+        del self.ends[:k], self.scores[:k]
+
+    def finish(self) -> list[int]:
+        while self.stops[-1] < self.end:
+            self._step()
+        return self.stops[1:]
+
+
+def walk(start: int, end: int, target_ms: int, maximum_ms: int, ends: list[int], scores: list[int]) -> list[int]:
+    """Ends of the topics of one chapter; ``ends`` are sorted ends of cues with their ``scores``."""
+    made = Walk(start, end, target_ms, maximum_ms)
+    for x in zip(ends, scores):
+        made.mark(*x)
+    return made.finish()
 
 
 TOPICS = "source_id string, chapter_id string, title string, chapter_start bigint, position int, topics int, start_ms bigint, end_ms bigint"
@@ -80,7 +113,8 @@ def topics(chapters: DataFrame, cues: DataFrame, target_ms: int = 300_000, maxim
     """Topics of each chapter: ``source_id, chapter_id, topic_id, title, position, chapter_start, start_ms, end_ms``.
 
     ``cues`` are normalized; ``score`` makes a cue's boundary score from its text and the pause after it. Cues meet
-    chapters by (source, hour). Only the ends and scores of one chapter's cues are collected.
+    chapters by (source, hour); a chapter's ends and scores are then read as a sorted stream, of which a task keeps only
+    what the next topic may reach.
     """
     if not 0 < target_ms <= maximum_ms:
         raise ValueError("a target must be positive and no longer than the maximum")
@@ -88,19 +122,32 @@ def topics(chapters: DataFrame, cues: DataFrame, target_ms: int = 300_000, maxim
     marks = ordered.select("source_id", F.col("end_ms").alias("at"), score(F.col("text"), F.coalesce("_next_start_ms", "end_ms") - F.col("end_ms")).cast("bigint").alias("score"))
     cells = chapters.where(F.col("end_ms") - F.col("start_ms") > maximum_ms).withColumn("_cell", F.explode(F.sequence(cell(F.col("start_ms")), cell(F.col("end_ms")))))
     met = marks.withColumn("_cell", cell(F.col("at"))).join(cells, ["source_id", "_cell"]).where("at > start_ms AND at <= end_ms")
-    per = met.groupBy("source_id", "chapter_id").agg(F.sort_array(F.collect_list(F.struct("at", "score"))).alias("marks"))
-    jobs = chapters.join(per, ["source_id", "chapter_id"], "left").select("source_id", "chapter_id", "title", "start_ms", "end_ms", "marks")
+    first = chapters.select("source_id", "chapter_id", F.lit(0).alias("kind"), F.col("start_ms").alias("x"), F.col("end_ms").alias("y"), "title")
+    rest = met.select("source_id", "chapter_id", F.lit(1).alias("kind"), F.col("at").alias("x"), F.col("score").alias("y"), F.lit(None).cast("string").alias("title"))
+    ordered = first.unionByName(rest).repartition("source_id", "chapter_id").sortWithinPartitions("source_id", "chapter_id", "kind", "x", "y")
+    names = [x.split()[0] for x in TOPICS.split(", ")]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made = None, None
+
+        def rows() -> list[tuple]:
+            if made is None:
+                return []
+            stops = made.finish()
+            return [(*now, k, len(stops), a, z) for k, (a, z) in enumerate(zip([now[3], *stops], stops), 1)]
+
         for b in batches:
             out = []
-            for source, chapter, title, start, end, m in b.itertuples(index=False, name=None):
-                m = [] if m is None else m
-                stops = walk(start, end, target_ms, maximum_ms, [x["at"] for x in m], [x["score"] for x in m])
-                out += [(source, chapter, title, start, k + 1, len(stops), a, z) for k, (a, z) in enumerate(zip([start, *stops], stops))]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in TOPICS.split(", ")])
-
-    made = jobs.mapInPandas(cut, TOPICS)
+            for source, chapter, kind, x, y, title in b.itertuples(index=False, name=None):
+                if kind == 0:
+                    out += rows()
+                    now, made = (source, chapter, title, x), Walk(x, y, target_ms, maximum_ms)
+                else:
+                    made.mark(x, y)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(rows(), columns=names)
+
+    made = ordered.mapInPandas(cut, TOPICS)
     title = F.when(F.col("topics") == 1, F.col("title")).otherwise(F.concat("title", F.lit(" · "), "position"))
     return made.select("source_id", "chapter_id", F.format_string("%s-topic-%03d", "chapter_id", "position").alias("topic_id"), title.alias("title"), "position", "chapter_start", "start_ms", "end_ms")
 
