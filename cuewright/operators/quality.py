@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuewright.functions.text import clean_text, fold_text, language_accepted
 from cuewright.operators.intervals import _with_reach, cell_periods
@@ -27,18 +27,26 @@ def usable_cues(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     return counted_cues(segments.where("start_ms >= 0 AND end_ms > start_ms"), transcripts)
 
 
-def normalized(cues: DataFrame) -> DataFrame:
+def stand_in(text: Column) -> Column:
+    """Of any text a short one that is equal where the texts are, and ends like it: by a mark or not."""
+    return F.concat(F.base64(F.unhex(F.md5(text))), F.regexp_extract(F.rtrim(text), r"([.?!])\z", 1))
+
+
+def normalized(cues: DataFrame, short: bool = False) -> DataFrame:
     """Cues with clean text in order of time, repeated neighbours that touch joined to one: ``source_id, seg_idx, start_ms, end_ms, text, speaker``.
 
     Neighbours are joined while their text is equal and each starts no later than the joined cue ends; the first's
     index, start and speaker stay, and the last end. Blank cues are dropped first.
 
     All of it happens within (source, hour), after one shuffle. Only an hour's last cue, and the run of equal texts that
-    it begins with, can be joined across hours; these few are put in order per source.
+    it begins with, can be joined across hours; these few are put in order per source. With ``short`` texts are replaced
+    by a :func:`stand_in` before they are shuffled, for those who need no more of them, and speakers are left out.
     """
     order = ["start_ms", "end_ms", "seg_idx"]
     key = ["source_id", "_cell"]
     clean = cues.select("source_id", "seg_idx", "start_ms", "end_ms", clean_text(F.col("text")).alias("text"), "speaker").where("text <> ''").withColumn("_cell", cell(F.col("start_ms")))
+    if short:
+        clean = clean.withColumn("text", stand_in(F.col("text"))).withColumn("speaker", F.lit(None).cast("string"))
     in_cell = Window.partitionBy(*key).orderBy(*order)
     new = F.when(F.lag("text").over(in_cell) == F.col("text"), 0).otherwise(1)
     runs = clean.withColumn("_new", new).withColumn("_run", F.sum("_new").over(in_cell))

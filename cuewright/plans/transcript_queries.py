@@ -105,12 +105,12 @@ def chapter_coalesce(spark: SparkSession, folder: str) -> DataFrame:
 
 def topic_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     usable = _cues(spark, folder)
-    return segmentation.topics(_chapters(spark, folder, usable), quality.normalized(usable)).select("source_id", "topic_id", "title", "start_ms", "end_ms")
+    return segmentation.topics(_chapters(spark, folder, usable), quality.normalized(usable, short=True)).select("source_id", "topic_id", "title", "start_ms", "end_ms")
 
 
 def topic_assignment(spark: SparkSession, folder: str) -> DataFrame:
     usable = _cues(spark, folder)
-    cues = stage(quality.normalized(usable), "normalized")
+    cues = stage(quality.normalized(usable, short=True), "normalized")
     chapters = _chapters(spark, folder, usable)
     found = segmentation.topic_cues(stage(segmentation.topics(chapters, cues), "topics"), cues)
     return found.select("source_id", "topic_id", F.array_join(F.transform("seg_indexes", lambda i: i.cast("string")), ",").alias("cues"))
