@@ -162,11 +162,12 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
 def topic_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Every topic's text through the default generator."""
     usable = stage(quality.usable_cues(table(spark, folder, "segments"), table(spark, folder, "transcripts")), "cues")
-    cues = stage(quality.normalized(usable), "normalized")
+    cues = stage(quality.normalized(usable, short=True), "normalized")
     lengths = quality.durations(usable, valid_transcripts(table(spark, folder, "transcripts"), ["duration_ms"]))
     chapters = segmentation.coalesced(segmentation.closed_chapters(table(spark, folder, "chapters"), table(spark, folder, "transcripts")), lengths, "detailed")
     held = segmentation.topic_cues(stage(segmentation.topics(chapters, cues), "topics"), cues)
-    made = synthesis.generated(synthesis.topic_requests(held, cues), ["source_id", "topic_id"], "text")
+    texts = usable.select("source_id", "seg_idx", tx.clean_text(F.col("text")).alias("text"))  # of joined cues the first one's
+    made = synthesis.generated(synthesis.topic_requests(held, texts), ["source_id", "topic_id"], "text")
     return made.select("source_id", "topic_id", "summary", F.array_join("concepts", ",").alias("concepts"), "attempts", "error")
 
 
