@@ -43,8 +43,8 @@ def reached(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None
     if through is not None:
         edges = edges.join(through.select("job_id"), "job_id", "left_semi")
     spans = stage(edges, "edges")
-    roots = roots.where("job_id IS NOT NULL").select("job_id").distinct()
-    seen, n = stage(roots, "reached"), -1
+    roots = stage(roots.where("job_id IS NOT NULL").select("job_id").distinct(), "roots")
+    seen, n = roots, -1
     while True:
         step = spans.join(seen.withColumnRenamed("job_id", "depends_on"), "depends_on", "left_semi").select("job_id")
         seen = stage(seen.unionByName(step).distinct(), "reached")

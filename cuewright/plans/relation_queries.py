@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuewright.operators import graph
 from cuewright.sources.tables import table
+from cuewright.staging import stage
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +52,7 @@ def dependency_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocked_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder)
+    jobs = stage(_jobs(spark, folder), "jobs")
     return graph.blocked(jobs, _edges(jobs))
 
 
