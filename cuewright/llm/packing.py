@@ -143,7 +143,7 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
             final = both.select("container_name", "part", "container", F.coalesce("_r", "r").alias("r"), F.coalesce("_p", "to_part").alias("to_part"), F.coalesce("_c", "to").alias("to"))
     label = F.concat_ws("-", F.lit(0), "part", "container")
     if final is not None:
-        placed = placed.join(final, ["container_name", "part", "container"], "left")
+        placed = placed.join(final.hint("merge"), ["container_name", "part", "container"], "left")  # numbers compress well, so their size on the way says little of that in memory
         label = F.coalesce(F.when(F.col("r").isNotNull(), F.concat_ws("-", "r", "to_part", "to")), label)
     return placed.select("container_name", label.alias("container_id"), "doc_id", "piece", "first_token", "tokens")
 
