@@ -68,7 +68,7 @@ class Packer:
         return {at for _, at in self.rooms}
 
 
-PLACED = "container_name string, part bigint, container bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, open boolean"
+PLACED = "container_name string, capacity bigint, part bigint, container bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, open boolean"
 
 
 def _pack(items: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +82,7 @@ def _pack(items: pd.DataFrame, kinds: pd.DataFrame) -> pd.DataFrame:
                 size = min(capacity, tokens - first)
                 made.append((packer.place(size), doc, piece, first, size))
         at = packer.left_open
-        out += [(name, part, c, d, p, f, s, c in at) for c, d, p, f, s in made]
+        out += [(name, capacity, part, c, d, p, f, s, c in at) for c, d, p, f, s in made]
     return pd.DataFrame(out, columns=[x.split()[0] for x in PLACED.split(", ")])
 
 
@@ -131,7 +131,7 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     theirs = kinds.withColumn("block", F.pmod(F.xxhash64("container_name"), F.lit(blocks))).withColumn("part", every(parts))
     placed = stage(mine.groupBy("part", "block").cogroup(theirs.groupBy("part", "block")).applyInPandas(_pack, PLACED), "packed")
 
-    left = placed.where("open").groupBy("container_name", "part", "container").agg(F.sum("tokens").alias("tokens")).join(kinds, "container_name")
+    left = placed.where("open").groupBy("container_name", "capacity", "part", "container").agg(F.sum("tokens").alias("tokens"))
     final = None  # of each container left open where its content is in the end
     for k, merged in enumerate(_rounds(left, parts), 1):
         step = merged.select("container_name", "part", "container", F.lit(k).alias("r"), "to_part", "to")
