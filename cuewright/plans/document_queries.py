@@ -194,7 +194,7 @@ def claim_scores(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["source_id", "text", "evidence", "timestamp_ms", "tolerance_ms"]
     claims = rows.groupBy("claim_id").agg(F.min(F.struct(*columns)).alias("c")).select("claim_id", "c.*")
     points = _claims(spark, folder).where("source_id IS NOT NULL").select("source_id", F.col("evidence_id").alias("point_id"), "text", F.col("start_ms").alias("timestamp_ms"))
-    matches = stage(scoring.matched(scoring.candidate_pairs(claims, points)), "matches")
+    matches = stage(scoring.best_matches(claims, points), "matches")
     transcripts = table(spark, folder, "transcripts")
     titles = latest(transcripts, ["source_id"], "ingested_at", ["title"]).withColumnRenamed("title", "overview") if "title" in transcripts.columns else None
     return scoring.scores(claims, matches, valid_transcripts(transcripts, ["duration_ms"]), points, titles)

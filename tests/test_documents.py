@@ -94,6 +94,46 @@ def test_scores_compare_a_whole_source(spark, monkeypatch):
     assert len(want) > 20 and max(w[3] for w in want) > 1_000_000
 
 
+def test_claims_ask_again_until_no_point_is_left(spark, monkeypatch):
+    """Crowded points: the same choice as from all pairs, though each claim asks for its best point only at first."""
+    monkeypatch.setattr(scoring, "FIRST", 1)
+    monkeypatch.setattr(scoring, "TILE", (7, 2048))
+    r = random.Random(8)
+    words = "the looms weave cloth near old mills while barges carry grain".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    claims = [(s, k, "the looms weave cloth " + text(k % 3), text(2), k * 1000, 30_000) for k in range(36) for s in "st"[k % 2 :][:1]]
+    points = [("st"[k % 2], 100 + k, "the looms weave cloth " + text(k % 4), 5_000 if k % 5 else None) for k in range(30)] + [("s", 150 + k, text(6), 1) for k in range(10)]
+    claims, points = spark.createDataFrame(claims, "source_id string, claim_id bigint, text string, evidence string, timestamp_ms bigint, tolerance_ms bigint"), spark.createDataFrame(points, "source_id string, point_id bigint, text string, timestamp_ms bigint")
+    want = sorted(map(tuple, scoring.matched(scoring.candidate_pairs(claims, points)).collect()), key=lambda x: x[1])
+    assert sorted(map(tuple, scoring.best_matches(claims, points).collect()), key=lambda x: x[1]) == want and 20 < len(want) < 36
+
+
+def test_few_texts_are_compared_in_full(monkeypatch):
+    """A claim's best points of thousands are found by comparing some; bounds are those of common subsequences."""
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshrdlué베") for _ in range(r.randint(2, 8))) for _ in range(200)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 20))) for _ in range(1500)] + ["\U0001f600" * 300]
+    tile, claim = scoring.Tile(texts), " ".join(r.choice(words) for _ in range(9))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    got = tile.common(claim)
+    assert all(got[k] == common(claim, texts[k]) for k in [*range(0, 1500, 25), 1500])
+    compared, ratio = [], scoring.SequenceMatcher.ratio
+    monkeypatch.setattr(scoring.SequenceMatcher, "ratio", lambda self: compared.append(1) or ratio(self))
+    one = scoring.Claim(1, claim, 0.3, 3)
+    one.compare(tile, list(range(1501)))
+    n = len(compared)
+    assert [p for _, p in one.best] == sorted(range(1501), key=lambda k: (-scoring.similarity(texts[k], claim), k))[:3] and n < 150
+
+
 def test_scores_without_times(spark, tmp_path):
     """Claims and points without a time count and match; a point's own evidence is compared where there is one."""
     claim, point = "source_id string, claim_id bigint, text string, evidence string, timestamp_ms bigint, tolerance_ms bigint", "source_id string, point_id bigint, text string, timestamp_ms bigint, evidence string"
