@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -10,8 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuewright.llm.layouts import COLUMN, MAY_HOLD, MINED, MOST_LAYOUTS, RUN_WORD, Slots, Token, TokenTree, column_head, decided, heads, run_before
-from cuewright.operators.ordered import cell, neighbour
+from cuewright.llm.layouts import COLUMN, MAY_HOLD, MINED, MOST_LAYOUTS, RUN_WORD, Slots, Token, TokenTree, column_head, decided, heads, paths, run_before
+from cuewright.operators.ordered import cell, join_one, neighbour
 from cuewright.sources.tables import counted_cues
 from cuewright.staging import stage
 
@@ -222,11 +223,16 @@ def _directory(speakers: DataFrame) -> list[tuple[int, str | None, str | None]]:
     return [tuple(r) for r in rows]
 
 
+def _rows(tree: TokenTree) -> pd.DataFrame:
+    rows, words = tree.merged()
+    return pd.DataFrame([(path, None, sums) for path, sums in rows] + [(path, word, [float(n), float(total)]) for path, word, n, total in words], columns=["path", "word", "sums"])
+
+
 def layouts(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """The layouts of the cues' line heads: ``path, n, people, times, follows, is_speaker, is_time, constants``.
 
-    Each task mines a token tree of fixed depth over the heads of its cues (:mod:`cuewright.llm.layouts`); equal
-    layouts of all tasks are then added up.
+    Each task mines token trees of fixed depth over the heads of its cues (:mod:`cuewright.llm.layouts`), beginning
+    another when one is full; equal layouts of all trees are then added up.
     """
     people = _directory(speakers)
 
@@ -237,43 +243,74 @@ def layouts(segments: DataFrame, speakers: DataFrame) -> DataFrame:
             for speaker, n in b["speaker"].value_counts(sort=False).items():
                 if speaker.strip():
                     tree.insert(COLUMN, column_head(speaker), speaker, 0.0, known, n)
+                    if tree.full:
+                        yield _rows(tree)
+                        tree = TokenTree()
             for text, start in zip(b["text"].tolist(), b["start_ms"].tolist()):
                 if text:
                     text = _even(text)
                     for how, tokens in heads(text):
                         tree.insert(how, tokens, text, start / 1000, known)
-        rows, words = tree.merged()
-        out = [(path, None, sums) for path, sums in rows] + [(path, word, [float(n), float(total)]) for path, word, n, total in words]
-        yield pd.DataFrame(out, columns=["path", "word", "sums"])
+                    if tree.full:
+                        yield _rows(tree)
+                        tree = TokenTree()
+        yield _rows(tree)
 
     return decided(stage(_cues(segments).mapInPandas(mine, MINED), "mined"))
 
 
+def _with_layouts(cues: DataFrame, used: DataFrame) -> DataFrame:
+    """Cues with ``layouts``: as JSON, the layouts among ``used`` that their own heads follow, however many there are in all."""
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for text, speaker in zip(b["text"].tolist(), b["speaker"].tolist()):
+                met = {tuple(x) for how, tokens in heads(_even(text)) for x in paths(how, tokens)}
+                if speaker and speaker.strip():
+                    met |= {tuple(x) for x in paths(COLUMN, column_head(speaker))}
+                found.append([list(x) for x in sorted(met)])
+            yield b.assign(paths=pd.Series(found, index=b.index, dtype=object))
+
+    kinds = ", ".join(f"{n} {k}" for n, k in cues.dtypes)
+    told = stage(cues.mapInPandas(follow, f"{kinds}, paths array<array<string>>"), "paths")
+    each = told.select("paths").distinct().select("paths", F.explode("paths").alias("path")).join(used, "path")
+    by = each.groupBy("paths").agg(F.to_json(F.collect_list(F.struct("path", "is_speaker", "is_time", "constants"))).alias("layouts"))
+    return join_one(told, by, "paths", "seg_idx").drop("paths")
+
+
 def cue_parts(segments: DataFrame, speakers: DataFrame, with_text: bool = False) -> DataFrame:
     """``source_id, seg_idx, start_ms, parts`` of each cue that names a person (``with_text``: of all cues).
 
-    The layouts are mined first; parts are then cut by the slots of the layouts. Rows without source, index or start are
-    left out.
+    The layouts are mined first; parts are then cut by the slots of the layouts, which all workers get, or, if there are
+    more than MOST_LAYOUTS, by those that a join finds for the cue. Rows without source, index or start are left out.
     """
     people = _directory(speakers)
     used = stage(layouts(segments, speakers).where("is_speaker OR is_time"), "layouts")
-    rows = used.orderBy(F.col("n").desc(), "path").select("path", "is_speaker", "is_time", F.transform("constants", lambda c: c["word"])).limit(MOST_LAYOUTS + 1).collect()
-    slots = Slots([tuple(r) for r in rows[:MOST_LAYOUTS]], complete=len(rows) <= MOST_LAYOUTS)
+    used = used.select("path", "is_speaker", "is_time", F.transform("constants", lambda c: c["word"]).alias("constants"))
+    rows = used.limit(MOST_LAYOUTS + 1).collect()
+    many = len(rows) > MOST_LAYOUTS
+    slots = None if many else Slots([tuple(r) for r in rows])
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = People(people).find
         for b in batches:
             keep, parts = [], []
-            labels = {x: named_by_column(x, find, slots) for x in b["speaker"].unique()}
-            for i, (text, speaker) in enumerate(zip(b["text"].tolist(), b["speaker"].tolist())):
-                found = parts_of(text, labels[speaker], find, slots)
+            own = b["layouts"].tolist() if many else [None] * len(b)
+            trees = {x: Slots([(r["path"], r["is_speaker"], r["is_time"], r["constants"]) for r in json.loads(x)] if x else []) for x in set(own)} if many else {None: slots}
+            labels: dict[tuple, int | None] = {}
+            for i, (text, speaker, at) in enumerate(zip(b["text"].tolist(), b["speaker"].tolist(), own)):
+                if (speaker, at) not in labels:
+                    labels[speaker, at] = named_by_column(speaker, find, trees[at])
+                found = parts_of(text, labels[speaker, at], find, trees[at])
                 if with_text or len(found) > 1 or found[0][0] is not None:
                     keep.append(i)
                     parts.append([{"person": p[0], "words": p[1], "text": _OPENERS.sub("", p[2].strip()) if with_text else None} for p in found])
             some = b[["source_id", "seg_idx", "start_ms"]].iloc[keep]
             yield some.assign(parts=pd.Series(parts, index=some.index, dtype=object))
 
-    return _cues(segments, with_text).mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
+    cues = _cues(segments, with_text)
+    return (_with_layouts(cues, used) if many else cues).mapInPandas(extract, f"source_id string, seg_idx int, start_ms bigint, parts {PARTS}")
 
 
 def spoken_parts(segments: DataFrame, speakers: DataFrame, transcripts: DataFrame, with_text: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.llm import turns
+from cuewright.llm import layouts, turns
 from cuewright.llm.layouts import CHILDREN, NUMBER, WORD, Slots, TokenTree, heads, seconds
 from cuewright.llm.turns import HESITATION, People, clean_words, distance, has_words, parts_of
 
@@ -87,6 +87,31 @@ def test_every_layout_gives_its_people(slots):
         assert got == ([who] if who else []), text
 
 
+def test_more_layouts_than_workers_are_given(spark, monkeypatch):
+    """Beyond the bound each cue is cut by the layouts of its own heads, as if all were given; by its value alone, Zoskin would speak in the last cue."""
+    cues = [(s, i, t, t + 1, x, None) for s, i, t, x, _ in training(each=12)] + [("c", i, i, i + 1, "more words", label) for i, label in enumerate(["Zoskin", "Speaker 2 (host)", "?", " "] * 4)]
+    cues += [("u", i, i, i + 1, f"wind{chr(97 + i % 26)}{chr(97 + i // 26)} # of words", None) for i in range(40)] + [("u", 99, 99, 100, "Zoskin # of words", None), ("u", 100, 101, 102, None, None)]
+    cues, people = spark.createDataFrame(cues, CUE), spark.createDataFrame(ROWS, SPEAKER)
+    parts = lambda: sorted((r.source_id, r.seg_idx, str(r.parts)) for r in turns.cue_parts(cues, people, with_text=True).collect())
+    want = parts()
+    monkeypatch.setattr(turns, "MOST_LAYOUTS", 3)
+    assert parts() == want
+    assert [p for s, i, p in want if (s, i) == ("u", 99)] == ["[Row(person=None, words=True, text='Zoskin # of words')]"]
+
+
+def test_a_full_tree_drops_no_layout(monkeypatch):
+    monkeypatch.setattr(layouts, "NODES", 20)
+    tree = TokenTree()
+    signs = "|=#@%&~^"
+    texts = [f"Zoskin {a}{b} word" for a in signs for b in signs]
+    for text in texts:
+        for how, tokens in heads(text):
+            tree.insert(how, tokens, text, 0.0, lambda v: True)
+    made = {" ".join(path): sums[0] for path, sums in tree.merged()[0]}
+    assert made == {f"line {WORD} {a}": float(len(signs)) for a in signs} and tree.full
+    assert {tuple(x) for text in texts for how, tokens in heads(text) for x in layouts.paths(how, tokens)} >= {tuple(p.split()) for p in made}
+
+
 def test_without_layouts_nothing_is_named(slots):
     people = People(ROWS).find
     assert [p[0] for p in parts_of("Zoskin: hello", None, people, Slots([]))] == [None]
