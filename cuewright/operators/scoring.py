@@ -21,7 +21,7 @@ TILE = (512, 2048)
 #: Letters of points that are compared at once, and letters whose places are kept for them.
 LETTERS, KEPT = 200_000, 1024
 #: Points that a claim asks for at first, and how many times as many it asks for when all of these are taken.
-FIRST, MORE = 4, 4
+FIRST, MORE = 8, 4
 
 
 def similarity(a: object, b: object) -> float:
@@ -39,16 +39,20 @@ def _clean(text: object) -> str:
 class Tile:
     """Texts that another text is compared with at once: their letters are the bits of one long number.
 
-    Each text begins at a byte and leaves a bit at least behind it, where the sum's carry ends.
+    Each text begins at a byte and leaves a bit at least behind it, where the sum's carry ends. Equal texts are one.
     """
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
-        self.lengths = np.array([len(t) for t in texts], np.int64)
-        sizes = self.lengths // 8 + 1
+        first_of: dict[str, int] = {}
+        self.which = np.array([first_of.setdefault(t, len(first_of)) for t in texts], np.int64)
+        texts = list(first_of)
+        self.each = lengths = np.array([len(t) for t in texts], np.int64)
+        self.lengths = lengths[self.which]
+        sizes = lengths // 8 + 1
         self.starts = np.cumsum(sizes) - sizes
         self.size = int(sizes.sum())
-        places = np.arange(int(self.lengths.sum())) + np.repeat(8 * self.starts - (np.cumsum(self.lengths) - self.lengths), self.lengths)
+        places = np.arange(int(lengths.sum())) + np.repeat(8 * self.starts - (np.cumsum(lengths) - lengths), lengths)
         letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         order = np.argsort(letters, kind="stable")
         found, first = np.unique(letters[order], return_index=True)
@@ -80,7 +84,7 @@ class Tile:
                 met = v & has
                 v = ((v + met) | (v ^ met)) & body
         left = np.bitwise_count(np.frombuffer(v.to_bytes(self.size, "little"), np.uint8))
-        return self.lengths - np.add.reduceat(left, self.starts, dtype=np.int64)
+        return (self.each - np.add.reduceat(left, self.starts, dtype=np.int64))[self.which]
 
 
 class Claim:
@@ -108,11 +112,15 @@ class Claim:
             return
         if self.matcher is None:
             self.matcher = SequenceMatcher(None, "", self.text)
+        scores: dict[int, float] = {}
         for k in left[np.argsort(-bound[left], kind="stable")].tolist():
             if bound[k] < self.floor:
                 break
-            self.matcher.set_seq1(tile.texts[k])
-            score = self.matcher.ratio()
+            same = int(tile.which[k])
+            if same not in scores:
+                self.matcher.set_seq1(tile.texts[k])
+                scores[same] = self.matcher.ratio()
+            score = scores[same]
             if score >= self.floor:
                 insort(self.best, (score, points[k]), key=lambda x: (-x[0], _key(x[1])))
                 if self.most and len(self.best) >= self.most:
@@ -138,7 +146,7 @@ def _asked(claims: DataFrame, points: DataFrame, most: int | None = None, round_
     """The points (at most ``most``) that state each claim best, among all of its source: :data:`ASKED`.
 
     A point with ``held`` is taken for claims after ``holder``. Claims go to blocks, each of which meets all points of
-    its source as a stream in order of their length: a task keeps a block of claims and one tile of points.
+    its source as a stream in order of their length and text: a task keeps a block of claims and one tile of points.
     """
     spark = claims.sparkSession
     sizes = claims.groupBy("source_id").agg(F.ceil(F.count("*") / TILE[0]).cast("int").alias("_n"))
@@ -147,7 +155,7 @@ def _asked(claims: DataFrame, points: DataFrame, most: int | None = None, round_
     met = join_one(points.where("text IS NOT NULL"), sizes, "source_id", "point_id", "inner").select("source_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block"), F.lit(1), F.length("text"), "point_id", "text", held[0].alias("held"), held[1].alias("holder"))
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # work is no matter of bytes, so the number of tasks is given
-    rows = own.union(met).repartition(max(conf, 4 * spark.sparkContext.defaultParallelism), "source_id", "_block").sortWithinPartitions("source_id", "_block", "_kind", "_length")
+    rows = own.union(met).repartition(max(conf, 4 * spark.sparkContext.defaultParallelism), "source_id", "_block").sortWithinPartitions("source_id", "_block", "_kind", "_length", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, mine, tile, letters = None, [], [], 0

@@ -132,6 +132,10 @@ def test_few_texts_are_compared_in_full(monkeypatch):
     one.compare(tile, list(range(1501)))
     n = len(compared)
     assert [p for _, p in one.best] == sorted(range(1501), key=lambda k: (-scoring.similarity(texts[k], claim), k))[:3] and n < 150
+    again, before = scoring.Claim(1, claim, 0.3, 3), len(compared)
+    again.compare(scoring.Tile(texts * 5), list(range(5 * 1501)))
+    assert [p for _, p in again.best] == [one.best[0][1] + 1501 * k for k in range(3)]
+    assert len(compared) - before <= n  # equal texts are compared once
 
 
 def test_scores_without_times(spark, tmp_path):
